@@ -12,11 +12,8 @@ Heafield et al. 2013). An unknown word gets its share of a uniform distribution.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows_a_batch, new_dir, written
+from .shared import few_rows_a_batch, get_array, new_dir, put_array, written
 from .words import mix, split, texts_of
 
 BEGIN, END = (np.uint64(x) for x in (0xB5297A4D3F84D5B5, 0x68E31DA4C2B2AE35))
@@ -132,42 +129,6 @@ def _counter(order: int, bits: int):
     return run
 
 
-def _put(folder: str, name: str, data: np.ndarray) -> None:
-    """A file appears whole or not at all, so that a task may run twice."""
-    place = urlparse(folder)
-    if place.scheme in ("", "file"):
-        os.makedirs(place.path, exist_ok=True)
-        half = f"{place.path}/.{name}-{uuid.uuid4().hex}"
-        data.tofile(half)
-        os.replace(half, f"{place.path}/{name}")
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path)
-        half = f"{path}/.{name}-{uuid.uuid4().hex}"
-        with store.open_output_stream(half) as out:
-            out.write(data.tobytes())
-        store.move(half, f"{path}/{name}")
-
-
-_OPEN: dict[str, np.ndarray] = {}
-
-
-def _get(folder: str, name: str, kind: type) -> np.ndarray:
-    """A file's array: mapped where the shared folder is a path, else read through its store."""
-    if (at := f"{folder}/{name}") not in _OPEN:
-        place = urlparse(folder)
-        if place.scheme in ("", "file"):
-            _OPEN[at] = np.memmap(f"{place.path}/{name}", kind, "r")
-        else:
-            from pyarrow import fs
-
-            store, path = fs.FileSystem.from_uri(folder)
-            _OPEN[at] = np.frombuffer(store.open_input_stream(f"{path}/{name}").read(), kind)
-    return _OPEN[at]
-
-
 def _merger(level: int, bits: int, folder: str):
     """Merges the packed rows of each shard: n-grams of one order, or the contexts of the order above."""
 
@@ -177,7 +138,7 @@ def _merger(level: int, bits: int, folder: str):
         key, words, (count, raw) = _sum_equal(_joined(words), words, [np.concatenate([p[1][i] for p in parts]) for i in (0, 1)])
         for name, x in (("key", key), ("count", count), ("raw", raw)):
             if name != "raw" or level == 1:
-                _put(folder, f"gram{level}-{shard}.{name}", x)
+                put_array(folder, f"gram{level}-{shard}.{name}", x)
         out = [("sum", level, shard, b"", *(int((count == i).sum()) for i in (1, 2, 3, 4)), len(key), int(raw.sum()))]
         prefix = _joined(words[:-1]) if level > 1 else np.zeros(len(key), np.uint64)
         seen, _, sums = _sum_equal(prefix, [], [count, *((count == i).astype(np.uint64) for i in (1, 2)), (count > 2).astype(np.uint64)])
@@ -192,8 +153,8 @@ def _merger(level: int, bits: int, folder: str):
         parts = [_unpacked(b) for b in blobs]
         cat = lambda i, j: np.concatenate([p[i][j] for p in parts])
         key, _, sums = _sum_equal(cat(0, 0), [], [cat(1, j) for j in range(4)])
-        _put(folder, f"context{level}-{shard}.key", key)
-        _put(folder, f"context{level}-{shard}.sums", np.stack(sums, axis=1))
+        put_array(folder, f"context{level}-{shard}.key", key)
+        put_array(folder, f"context{level}-{shard}.sums", np.stack(sums, axis=1))
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +196,11 @@ class Model:
         edge = np.searchsorted(asked, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(1, np.int64)
         for shard, (a, b) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(asked)], strict=True)):
             if a < b and shard in self.shards.get(kind, ()):
-                known = _get(self.folder, f"{kind}-{shard}.key", np.uint64)
+                known = get_array(self.folder, f"{kind}-{shard}.key", np.uint64)
                 at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
                 hit = known[at] == asked[a:b]
                 for o, (name, dtype, wide) in zip(out, cols, strict=True):
-                    data = _get(self.folder, f"{kind}-{shard}.{name}", dtype)
+                    data = get_array(self.folder, f"{kind}-{shard}.{name}", dtype)
                     o[a:b][hit] = (data.reshape(-1, wide) if wide > 1 else data)[at[hit]]
         return [o[back] for o in out]
 

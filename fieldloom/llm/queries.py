@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knlm, packing, quality, sharding, simhash, toxicity
+from . import chat, knlm, mtree, packing, pieces, quality, sharding, simhash, toxicity, wordpiece
+
+
+#: A public vocabulary; pieces that begin a word have a mark before them.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), bits=3, shingle=3)
 
 
+def op3_wordpiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), *wordpiece.read_pieces(vocabulary))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return pieces.round_trips(_table(spark, sf_dir, "documents"), pieces.read_vocabulary(vocabulary))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learned(docs, _table(spark, sf_dir, "labels"), every=5), every=5)
@@ -32,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), lengths=(512, 1024, 2048, 4096))
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -61,8 +77,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_wordpiece": op3_wordpiece,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_mtree": op7_mtree,
     "op8_quality": op8_quality,
     "op9_knlm": op9_knlm,
     "op10_chat": op10_chat,
@@ -77,6 +96,17 @@ def _escaped(text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op7_mtree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
     "op8_quality": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents

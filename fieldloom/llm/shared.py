@@ -6,9 +6,12 @@ that is unset (tests, a single machine) a folder of this machine stands in for i
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +50,39 @@ def few_rows_a_batch(spark: SparkSession, rows: int = 512) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > rows:
         spark.conf.set(name, rows)
+
+
+def put_array(folder: str, name: str, data: np.ndarray) -> None:
+    """A file appears whole or not at all, so that a task may run twice."""
+    place = urlparse(folder)
+    if place.scheme in ("", "file"):
+        os.makedirs(place.path, exist_ok=True)
+        half = f"{place.path}/.{name}-{uuid.uuid4().hex}"
+        data.tofile(half)
+        os.replace(half, f"{place.path}/{name}")
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        half = f"{path}/.{name}-{uuid.uuid4().hex}"
+        with store.open_output_stream(half) as out:
+            out.write(data.tobytes())
+        store.move(half, f"{path}/{name}")
+
+
+_OPEN: dict[str, np.ndarray] = {}
+
+
+def get_array(folder: str, name: str, kind: type) -> np.ndarray:
+    """A file's array: mapped where the shared folder is a path, else read through its store."""
+    if (at := f"{folder}/{name}") not in _OPEN:
+        place = urlparse(folder)
+        if place.scheme in ("", "file"):
+            _OPEN[at] = np.memmap(f"{place.path}/{name}", kind, "r")
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(folder)
+            _OPEN[at] = np.frombuffer(store.open_input_stream(f"{path}/{name}").read(), kind)
+    return _OPEN[at]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .knlm import held_out
 from .shared import few_rows_a_batch
-from .words import Words, split, texts_of
+from .words import Index, Words, split, texts_of
 
 WINDOW, STRIDE = 12, 8
 STATES, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
@@ -61,35 +61,6 @@ def _common(text: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.sort(items[np.lexsort((items, -n))[:MOST_VECTORS]])
 
 
-class Index:
-    """Places in a sorted array, from 1 (0: not there), by a hash table whose second and later entries of a
-    slot are found by bisection."""
-
-    BITS = 18
-
-    def __init__(self, known: np.ndarray) -> None:
-        self.known = known
-        slot = self._slots(known)
-        self.first = np.zeros(1 << self.BITS, np.int32)
-        self.first[slot[::-1]] = np.arange(len(known), 0, -1)
-        self.code = np.zeros(1 << self.BITS, np.uint64)
-        self.code[slot[::-1]] = known[::-1]
-        self.more = np.bincount(slot, minlength=1 << self.BITS) > 1
-
-    def _slots(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def find(self, asked: np.ndarray) -> np.ndarray:
-        slot = self._slots(asked)
-        hit = self.code[slot] == asked
-        out = np.where(hit, self.first[slot], 0)
-        late = np.flatnonzero(~hit & self.more[slot])
-        if len(late):
-            at = np.minimum(np.searchsorted(self.known, asked[late]), len(self.known) - 1)
-            out[late] = np.where(self.known[at] == asked[late], at + 1, 0)
-        return out
-
-
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word) of overlapping windows that cover all words of each text."""
     n = np.diff(first)
