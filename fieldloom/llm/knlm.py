@@ -27,6 +27,8 @@ from .words import mix, split, texts_of
 BEGIN, END = (np.uint64(x) for x in (0xB5297A4D3F84D5B5, 0x68E31DA4C2B2AE35))
 #: Tokens whose counts a task holds before it deals them out.
 FLUSH = 2_000_000
+#: Counts from here on stand in a table of their own; others take a byte.
+_MANY = 255
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,9 +76,12 @@ def _packed(level: int, kind: str, key: np.ndarray, hashes: list[np.ndarray], su
         if a == b:
             continue
         known, index = np.unique(np.concatenate([x[a:b] for x in hashes]), return_inverse=True)
-        body = [np.array([b - a, len(known)], np.int64), known, index.astype(np.uint32), *(x[a:b].astype(np.uint32 if x.max() < 1 << 32 else np.uint64) for x in sums)]
+        index = index.reshape(len(hashes), b - a)
+        order = np.lexsort(index[::-1])  # equal first words side by side pack well
+        narrow = [x[a:b][order].astype(np.uint32 if x[a:b].max() < 1 << 32 else np.uint64) for x in sums]
+        body = [np.array([b - a, len(known)], np.int64), known, index[:, order].astype(np.uint32), *narrow]
         wide = bytes(x.dtype.itemsize for x in body[3:])
-        yield kind, level, shard, bytes([len(hashes), len(sums)]) + wide + zstandard.compress(b"".join(x.tobytes() for x in body), 1)
+        yield kind, level, shard, bytes([len(hashes), len(sums)]) + wide + zstandard.compress(b"".join(x.tobytes() for x in body), 3)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -136,9 +141,12 @@ def _merger(level: int, bits: int, folder: str):
         parts = [_unpacked(b) for b in blobs]
         words = [np.concatenate([p[0][i] for p in parts]) for i in range(level)]
         key, words, (count, raw) = _sum_equal(_joined(words), words, [np.concatenate([p[1][i] for p in parts]) for i in (0, 1)])
-        for name, x in (("key", key), ("count", count), ("raw", raw)):
-            if name != "raw" or level == 1:
-                put_array(folder, f"gram{level}-{shard}.{name}", x)
+        put_array(folder, f"gram{level}-{shard}.key", key)
+        put_array(folder, f"gram{level}-{shard}.count", np.minimum(count, _MANY).astype(np.uint8))
+        big = np.flatnonzero(count >= _MANY)
+        put_array(folder, f"gram{level}-{shard}.big", np.stack([np.r_[big, len(key)].astype(np.uint64), np.r_[count[big], np.uint64(0)]], axis=1))
+        if level == 1:
+            put_array(folder, f"gram1-{shard}.raw", raw)
         out = [("sum", level, shard, b"", *(int((count == i).sum()) for i in (1, 2, 3, 4)), len(key), int(raw.sum()))]
         prefix = _joined(words[:-1]) if level > 1 else np.zeros(len(key), np.uint64)
         seen, _, sums = _sum_equal(prefix, [], [count, *((count == i).astype(np.uint64) for i in (1, 2)), (count > 2).astype(np.uint64)])
@@ -201,7 +209,11 @@ class Model:
                 hit = known[at] == asked[a:b]
                 for o, (name, dtype, wide) in zip(out, cols, strict=True):
                     data = get_array(self.folder, f"{kind}-{shard}.{name}", dtype)
-                    o[a:b][hit] = (data.reshape(-1, wide) if wide > 1 else data)[at[hit]]
+                    got = (data.reshape(-1, wide) if wide > 1 else data)[at[hit]].astype(np.float64)
+                    if name == "count" and (many := np.flatnonzero(got == _MANY)).size:
+                        big = get_array(self.folder, f"{kind}-{shard}.big", np.uint64).reshape(-1, 2)
+                        got[many] = big[np.searchsorted(big[:, 0], at[hit][many].astype(np.uint64)), 1]
+                    o[a:b][hit] = got
         return [o[back] for o in out]
 
     def discounted(self, level: int, count: np.ndarray) -> np.ndarray:
@@ -212,13 +224,13 @@ class Model:
         token, first = tokens(texts)
         text = np.repeat(np.arange(len(texts)), np.diff(first))
         at = np.flatnonzero(token != BEGIN)
-        count, raw = self.find("gram1", token[at], [("count", np.uint64, 1), ("raw", np.uint64, 1)])
+        count, raw = self.find("gram1", token[at], [("count", np.uint8, 1), ("raw", np.uint64, 1)])
         p = np.full(len(at), 1 / (self.types + 1))
         for k in range(1, self.order + 1):
             has = np.flatnonzero((at - k + 1 >= 0) & (text[np.maximum(at - k + 1, 0)] == text[at]))
             words = [token[at[has] - k + 1 + i] for i in range(k)]
             if k > 1:
-                (count,) = self.find(f"gram{k}", _joined(words), [("count", np.uint64, 1)])
+                (count,) = self.find(f"gram{k}", _joined(words), [("count", np.uint8, 1)])
             context = _joined(words[:-1]) if k > 1 else np.zeros(len(has), np.uint64)
             (sums,) = self.find(f"context{k}", context, [("sums", np.uint64, 4)])
             known = sums[:, 0] > 0

@@ -6,7 +6,7 @@ import pytest
 
 from fieldloom.llm import knlm
 
-TEXTS = ["the cat sat on the mat", "The cat ate", "a dog sat on the cat", None, "", "the the the", "on the mat the dog sat\nand  ate", "b c d e f g", "the cat sat on a log"] * 2 + ["x " * 300]
+TEXTS = ["the cat sat on the mat", "The cat ate", "a dog sat on the cat", None, "", "the the the", "on the mat the dog sat\nand  ate", "b c d e f g", "the cat sat on a log"] * 2 + ["x " * 900]
 
 
 def brute(train, texts, order):
