@@ -69,6 +69,11 @@ def _sum_equal(key: np.ndarray, cols: list[np.ndarray], sums: list[np.ndarray])
     return key[new], [x[order][new] for x in cols], added
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes of all items, second bytes, and so on: small numbers pack well so."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
 def _packed(level: int, kind: str, key: np.ndarray, hashes: list[np.ndarray], sums: list[np.ndarray], bits: int) -> Iterator[tuple]:
     """Rows (kind, level, shard, blob); key is sorted and its top bits are the shard."""
     edge = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
@@ -79,9 +84,11 @@ def _packed(level: int, kind: str, key: np.ndarray, hashes: list[np.ndarray], su
         index = index.reshape(len(hashes), b - a)
         order = np.lexsort(index[::-1])  # equal first words side by side pack well
         narrow = [x[a:b][order].astype(np.uint32 if x[a:b].max() < 1 << 32 else np.uint64) for x in sums]
-        body = [np.array([b - a, len(known)], np.int64), known, index[:, order].astype(np.uint32), *narrow]
-        wide = bytes(x.dtype.itemsize for x in body[3:])
-        yield kind, level, shard, bytes([len(hashes), len(sums)]) + wide + zstandard.compress(b"".join(x.tobytes() for x in body), 3)
+        index = np.ascontiguousarray(index[:, order], np.uint32)
+        index[0] = np.diff(index[0], prepend=np.uint32(0))
+        body = [np.array([b - a, len(known)], np.int64).tobytes(), known.tobytes(), *map(_planes, [*index, *narrow])]
+        wide = bytes(x.dtype.itemsize for x in narrow)
+        yield kind, level, shard, bytes([len(hashes), len(sums)]) + wide + zstandard.compress(b"".join(body), 1)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -89,12 +96,13 @@ def _unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     wide, body = blob[2 : 2 + sums], zstandard.decompress(blob[2 + sums :])
     n, known = np.frombuffer(body, np.int64, 2)
     words, at = np.frombuffer(body, np.uint64, known, 16), 16 + 8 * int(known)
-    index = np.frombuffer(body, np.uint32, n * hashes, at)
-    at, out = at + 4 * int(n) * hashes, []
-    for size in wide:
-        out.append(np.frombuffer(body, np.uint32 if size == 4 else np.uint64, n, at).astype(np.uint64))
+    cols = []
+    for size in [*[4] * hashes, *wide]:
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        cols.append(np.ascontiguousarray(planes.T).view(np.uint32 if size == 4 else np.uint64).ravel())
         at += size * int(n)
-    return [words[index[i * n : (i + 1) * n]] for i in range(hashes)], out
+    cols[0] = np.cumsum(cols[0], dtype=np.uint32)
+    return [words[x] for x in cols[:hashes]], [x.astype(np.uint64) for x in cols[hashes:]]
 
 
 _ROW = "kind string, level int, shard int, blob binary, ones long, twos long, threes long, fours long, types long, tokens long"
