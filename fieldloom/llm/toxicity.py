@@ -9,6 +9,7 @@ score highest in each text, so that clean texts give their most toxic-looking on
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +26,13 @@ WINDOW, STRIDE = 12, 8
 STATES, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 GRAMS = (3, 4, 5)
 #: Bounds of the sample that training sees: labelled rows of each label, and characters of each row's text.
-SAMPLE = {1: 2000, 0: 4000}
-SAMPLE_CHARS = 20_000
+SAMPLE = {1: 1500, 0: 2500}
+SAMPLE_CHARS = 8_000
 #: Texts of the sample that must hold a word or an n-gram for it to have a vector; most vectors of a kind.
 LEAST_TEXTS, MOST_VECTORS = 4, 40_000
 
 
-def char_grams(found: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def char_grams(found: Words, which: np.ndarray, lengths: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
     """(position in ``which``, code) of each character n-gram of those words, with marks at both ends; a code
     holds the n-gram's bytes and its length."""
     size = found.length[which] + 2
@@ -43,20 +44,18 @@ def char_grams(found: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     mid = (pos > 0) & (pos < size[of] - 1)
     byte[mid] = found.data[found.start[which][of[mid]] + pos[mid] - 1]
     rows, codes = [], []
-    for n in GRAMS:
+    for n in lengths:
         here = np.flatnonzero(pos <= size[of] - n)
         code = np.full(len(here), n, np.uint64)
         for i in range(n):
             code = (code << np.uint64(8)) | byte[here + i]
-        rows.append(of[here])
+        rows.append(of[here].astype(np.int32))
         codes.append(code)
     return np.concatenate(rows), np.concatenate(codes)
 
 
-def _common(text: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Items of several texts, sorted: those of most texts if there are too many."""
-    pairs = np.unique(np.stack([item, text.astype(np.uint64)], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.uint64)
-    items, n = np.unique(pairs[:, 0], return_counts=True)
+def _common(items: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Items that are held often enough, sorted: the most frequent if there are too many."""
     items, n = items[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS]
     return np.sort(items[np.lexsort((items, -n))[:MOST_VECTORS]])
 
@@ -97,9 +96,12 @@ class Network:
 
     def inputs(self, found: Words, which: np.ndarray, hashes: np.ndarray) -> Inputs:
         """Of the distinct words at ``which``."""
-        owner, code = char_grams(found, which)
-        gram = self.grams.find(code)
-        owner, gram = owner[gram > 0], gram[gram > 0]
+        parts = []
+        for n in GRAMS:
+            owner, code = char_grams(found, which, (n,))
+            gram = self.grams.find(code)
+            parts.append((owner[gram > 0], gram[gram > 0]))
+        owner, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
         n = np.bincount(owner, minlength=len(which))
         return Inputs(self.words.find(hashes), owner, gram, (1 / np.sqrt(np.maximum(n, 1))).astype(self.p["word"].dtype))
 
@@ -234,20 +236,23 @@ class _Adam:
         self.p["char"][0] = 0
 
 
+def _constant(net: Network, toxic: bool) -> Network:
+    net.p["bias"][:] = 4.0 if toxic else -4.0
+    net.p["out"][:] = 0
+    return net
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, first_steps: int = 500, rounds: int = 5, round_steps: int = 120, batch: int = 256) -> Network:
-    """A network from whole-text labels (0 or 1)."""
+    """A network from whole-text labels (0 or 1); with one label alone, or none, it finds all texts alike."""
     found = split(texts)
     if not len(found.start):
-        return Network(np.zeros(0, np.uint64), np.zeros(0, np.uint64), seed)
+        return _constant(Network(np.zeros(0, np.uint64), np.zeros(0, np.uint64), seed), False)
     hashes, one, index = np.unique(found.hashes(), return_index=True, return_inverse=True)
-    owner, code = char_grams(found, one)
-    held = np.unique(np.stack([index, found.text], axis=1), axis=0)
-    words = _common(held[:, 1], hashes[held[:, 0]])
-    kinds, gram = np.unique(code, return_inverse=True)
+    held = np.unique(index * len(texts) + found.text) // len(texts)
+    words = _common(hashes, np.bincount(held, minlength=len(hashes)))
     # n-grams count by the distinct words that hold them
-    n = np.bincount(gram, minlength=len(kinds))
-    best = np.lexsort((kinds, -n))[:MOST_VECTORS]
-    net = Network(words, np.sort(kinds[best[n[best] >= LEAST_TEXTS]]), seed)
+    counts = [np.unique(char_grams(found, one, (n,))[1], return_counts=True) for n in GRAMS]
+    net = Network(words, _common(*(np.concatenate(x) for x in zip(*counts, strict=True))), seed)
     whole = net.inputs(found, one, hashes)
     edge = np.searchsorted(whole.owner[order := np.argsort(whole.owner, kind="stable")], np.arange(len(one) + 1))
     sorted_gram = whole.gram[order]
@@ -267,9 +272,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, first_steps: int
     toxic = labels[text] == 1
     sides = [np.flatnonzero(~toxic), np.flatnonzero(toxic)]
     if not (len(sides[0]) and len(sides[1])):
-        net.p["bias"][:] = 4.0 if len(sides[1]) else -4.0
-        net.p["out"][:] = 0
-        return net
+        return _constant(net, bool(len(sides[1])))
     for _ in range(first_steps):
         rows = np.concatenate([rng.choice(s, batch // 2) for s in sides])
         learn(rows, toxic[rows].astype(np.float32))
@@ -289,8 +292,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, first_steps: int
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, every: int) -> tuple[list[bytes], np.ndarray]:
-    """Labelled texts for training: rows that are not held out, for each label at most ``SAMPLE`` of them, first
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, every: int) -> DataFrame:
+    """Labelled texts (__h, text, label) for training: rows that are not held out, for each label at most ``SAMPLE`` of them, first
     by a hash of their key; of a text over ``SAMPLE_CHARS`` characters a stretch of that many, its place by that hash."""
     y = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__y in (0, 1)")
     y = y.where(~held_out("__key", every)).groupBy("__key").agg(F.max("__y").alias("__y")).withColumn("__h", F.xxhash64("__key"))
@@ -302,13 +305,26 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     rows = docs.select(F.col(key).alias("__key"), body.alias("__text")).join(F.broadcast(some), "__key")
     begin = F.when(size > SAMPLE_CHARS, F.pmod(F.col("__h"), size - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
     rows = rows.select("__h", "__key", "__y", F.substring(F.col("__text"), begin, F.lit(SAMPLE_CHARS)).alias("__text"))
-    got = rows.dropDuplicates(["__key"]).orderBy("__h", "__key").toArrow()
-    return texts_of(got["__text"]), got["__y"].to_numpy().astype(np.int64)
+    return rows.dropDuplicates(["__key"]).select("__h", F.col("__text").alias("text"), F.col("__y").alias("label"))
+
+
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(((h, y, t) for b in batches for h, t, y in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True)), key=lambda r: r[:2])
+    net = fit([t for _, _, t in rows], np.array([y for _, y, _ in rows], np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.words.known, net.grams.known, net.p))])], ["net"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", every: int = 5) -> Network:
-    """A network from the labelled rows that are not held out."""
-    return fit(*sample(docs, labels, key, text, label, every))
+    """A network from the labelled rows that are not held out. One task, on the bounded sample, trains it."""
+    few_rows_a_batch(docs.sparkSession)
+    rows = sample(docs, labels, key, text, label, every).repartition(1)
+    made = rows.mapInArrow(_trainer, "net binary").collect()
+    if not made:
+        return fit([], np.zeros(0, np.int64))
+    words, grams, p = pickle.loads(made[0][0])
+    net = Network(words, grams)
+    net.p = p
+    return net
 
 
 def _scorer(net: Network, column: int, names: list[str], keep_below: float | None):
