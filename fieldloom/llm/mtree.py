@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import get_array, new_dir, put_array, written
 
-PAGE, FANOUT = 64, 16
+PAGE, FANOUT = 512, 16
 #: Vectors of a tree, about; queries that go to a tree together.
 BLOCK, QUERIES = 8192, 1024
 #: Rounding of bounds, as a share of the largest distance.
@@ -49,21 +49,17 @@ class Tree:
 
 
 def _split(full: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """``rows`` in groups around routing vectors that lie far apart; the first of each group is its routing vector."""
+    """``rows`` in groups around routing vectors taken evenly from them, each with the rows nearest to it; a group
+    begins with its routing vector. Outliers make poor routing vectors: their groups would be almost empty pages."""
     k = min(FANOUT, -(-len(rows) // PAGE))
-    gap, near, chosen = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), []
-    at = 0
-    for i in range(k):
-        chosen.append(at)
-        d = np.linalg.norm(full[rows] - full[rows[at]], axis=1)
-        near = np.where(d < gap, i, near)
-        gap = np.minimum(gap, d)
-        if gap.max() == 0:
-            break
-        at = int(np.argmax(gap))
-    if len(chosen) == 1:  # all alike
+    chosen = rows[np.linspace(0, len(rows) - 1, k).astype(np.int64)]
+    _, first = np.unique(full[chosen], axis=0, return_index=True)
+    chosen = chosen[np.sort(first)]
+    near = np.argmin(np.stack([np.linalg.norm(full[rows] - full[c], axis=1) for c in chosen]), axis=0)
+    groups = [np.r_[c, rows[(near == i) & (rows != c)]] for i, c in enumerate(chosen)]
+    if max(map(len, groups)) == len(rows):  # all alike, or all nearest to one
         return np.array_split(rows, k)
-    return [np.r_[rows[c], rows[(near == i) & (np.arange(len(rows)) != c)]] for i, c in enumerate(chosen)]
+    return groups
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> Tree:
@@ -99,51 +95,70 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> Tree:
     return Tree(ids[at], vectors[at], np.concatenate(to_parent), *(c.astype(np.int64) for c in cols[:3]), center, cols[4].astype(float), cols[5].astype(float), np.array([norm]))
 
 
+def quick(tree: Tree) -> Tree:
+    """The tree in memory; with vectors as doubles where products of them are whole and exact."""
+    parts = {name: np.ascontiguousarray(getattr(tree, name)) for name, _ in _ARRAYS}
+    v = parts["vectors"]
+    if v.size and float(np.abs(v).max()) ** 2 * v.shape[1] < 2**52:
+        parts["vectors"] = v.astype(np.float64)
+    return Tree(**parts)
+
+
 def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int] | None = None) -> list[tuple[int, int]]:
     """(score, id) of the k best vectors other than the query's own, ties to smaller ids.
 
-    seen: counts of products that were computed, if given.
+    seen: counts of products that were computed, if given. The query must suit the tree's kind of numbers.
     """
     if not len(tree.ids):
         return []
+    vectors, to_parent, ids = tree.vectors, tree.toParent, tree.ids
+    x = query.astype(vectors.dtype)
     square = float((query.astype(np.float64) ** 2).sum()) + float(tree.norm[0])
-    margin = _MARGIN * (1 + 2 * np.sqrt(square))
+    margin = _MARGIN * (1 + 2 * square**0.5)
     found: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the best first
     limit = np.inf
 
-    def distance(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        product = tree.vectors[rows] @ query
+    def distance(rows: np.ndarray) -> np.ndarray:
         if seen is not None:
-            seen[0] += len(product)
-        return product, np.sqrt(np.maximum(square - 2.0 * product, 0))
+            seen[0] += len(rows)
+        return np.sqrt(np.maximum(square - 2.0 * (vectors[rows] @ x), 0))
 
-    nodes = [(0.0, 0, float(distance(tree.center[:1])[1][0]))]
+    nodes = [(0.0, 0, float(distance(tree.center[:1])[0]))]
     while nodes:
         bound, node, here = heapq.heappop(nodes)
         if bound > limit + margin:
             break
-        rows = np.arange(tree.begin[node], tree.end[node])
-        if tree.leaf[node]:
-            rows = rows[np.abs(here - tree.toParent[rows]) <= limit + margin]
-            rows = rows[tree.ids[rows] != query_id]
-            product, _ = distance(rows)
-            if len(found) == k:
-                rows, product = rows[product >= found[0][0]], product[product >= found[0][0]]
-            for i in np.lexsort((tree.ids[rows], -product))[:k].tolist():
-                entry = (int(product[i]), -int(tree.ids[rows[i]]))
-                if len(found) < k:
-                    heapq.heappush(found, entry)
-                elif entry > found[0]:
-                    heapq.heapreplace(found, entry)
-            if len(found) == k:
-                limit = float(np.sqrt(max(square - 2.0 * found[0][0], 0)))
-        else:
-            rows = rows[np.abs(here - tree.nodeParent[rows]) - tree.radius[rows] <= limit + margin]
-            _, d = distance(tree.center[rows])
-            for child, low, there in zip(rows.tolist(), np.maximum(d - tree.radius[rows], 0).tolist(), d.tolist(), strict=True):
+        a, b = int(tree.begin[node]), int(tree.end[node])
+        if not tree.leaf[node]:
+            near = a + (np.abs(here - tree.nodeParent[a:b]) - tree.radius[a:b] <= limit + margin).nonzero()[0]
+            d = distance(tree.center[near])
+            for child, low, there in zip(near.tolist(), np.maximum(d - tree.radius[near], 0).tolist(), d.tolist(), strict=True):
                 if low <= limit + margin:
                     heapq.heappush(nodes, (low, child, there))
-    return sorted(((s, -i) for s, i in found), key=lambda x: (-x[0], x[1]))
+            continue
+        near = (np.abs(here - to_parent[a:b]) <= limit + margin).nonzero()[0]
+        if 2 * len(near) > b - a:
+            product, n = vectors[a:b] @ x, b - a
+        else:
+            product, n = vectors[a + near] @ x, len(near)
+        if seen is not None:
+            seen[0] += n
+        hits = (product >= found[0][0]).nonzero()[0] if len(found) == k else np.arange(n)
+        if not len(hits):
+            continue
+        rows = a + (hits if n == b - a else near[hits])
+        for score, i in sorted(zip(product[hits].tolist(), (-ids[rows]).tolist(), strict=True), reverse=True):
+            if -i == query_id:
+                continue
+            if len(found) < k:
+                heapq.heappush(found, (score, i))
+            elif (score, i) > found[0]:
+                heapq.heapreplace(found, (score, i))
+            else:
+                break
+        if len(found) == k:
+            limit = max(square - 2.0 * found[0][0], 0) ** 0.5
+    return sorted(((int(s), -i) for s, i in found), key=lambda y: (-y[0], y[1]))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -180,15 +195,18 @@ def _builder(folder: str):
 
 def _searcher(folder: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree = None, None
+        now, tree, whole = None, None, False
         for batch in batches:
             out: list[tuple] = []
             for dim, block, ids, flat in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (dim, block) != now:
                     now = dim, block
                     parts = {name: get_array(folder, f"{dim}-{block}.{name}", kind) for name, kind in _ARRAYS}
-                    tree = Tree(**(parts | {"vectors": np.asarray(parts["vectors"]).reshape(-1, dim)}))
+                    tree = quick(Tree(**(parts | {"vectors": np.asarray(parts["vectors"]).reshape(-1, dim)})))
+                    whole = tree.vectors.dtype.kind == "i"
                 queries = np.frombuffer(flat, np.int64).reshape(-1, dim)
+                if not whole and float(np.abs(queries).max(initial=0)) * float(np.abs(tree.vectors).max()) * dim >= 2**52:
+                    tree, whole = Tree(**{**vars(tree), "vectors": tree.vectors.astype(np.int64)}), True
                 for query_id, query in zip(np.frombuffer(ids, np.int64).tolist(), queries, strict=True):
                     out += [(query_id, i, s) for s, i in search(tree, query_id, query, k)]
             table = np.array(out, np.int64).reshape(-1, 3)
