@@ -50,11 +50,13 @@ class Field:
         return F.aggregate(bits, F.lit(1).cast("long"), lambda acc, bit: F.when(bit == 1, self.mul(self.mul(acc, acc), a)).otherwise(self.mul(acc, acc)))
 
     def inv(self, a) -> Column:
-        """By Fermat's little theorem, with the exponent's bits fixed when the plan is made."""
-        power = F.lit(1).cast("long")
-        bits = F.array(*(F.lit(b == "1") for b in bin(self.p - 2)[2:]))
+        """A table for primes up to 4096; beyond, Fermat's little theorem with the exponent's bits fixed in the plan."""
         x = self.canon(a)
-        power = F.aggregate(bits, power, lambda acc, bit: F.when(bit, self.mul(self.mul(acc, acc), x)).otherwise(self.mul(acc, acc)))
+        if self.p <= 4096:
+            table = F.lit([0, *(pow(i, -1, self.p) for i in range(1, self.p))])
+            return F.when(x != 0, F.get(table, x.cast("int")).cast("long"))
+        bits = F.array(*(F.lit(b == "1") for b in bin(self.p - 2)[2:]))
+        power = F.aggregate(bits, F.lit(1).cast("long"), lambda acc, bit: F.when(bit, self.mul(self.mul(acc, acc), x)).otherwise(self.mul(acc, acc)))
         return F.when(x != 0, power)
 
     def div(self, a, b) -> Column:

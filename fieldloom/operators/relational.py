@@ -245,21 +245,23 @@ def arc_signals(inc: DataFrame, parts: DataFrame, arcs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def as_of(values: DataFrame, starts: DataFrame, value: str = "coni", start: str = "start", name: str = "name", width: int = 4096) -> DataFrame:
+def as_of(values: DataFrame, starts: DataFrame, value: str = "coni", start: str = "start", name: str = "name", width: int = 65_536) -> DataFrame:
     """(value, start, name): the entry with the greatest start at or below each value; without one, none.
 
-    Values and starts meet in ranges of ``width``; a running maximum over the ranges carries the last start on, so
-    neither side is sorted as a whole and no range join is needed.
+    Values and starts are merged within ranges of ``width`` and the last start is carried along each range in order;
+    a running last over the ranges carries it on. Neither side is sorted as a whole, and no pairs are formed.
     """
-    v = values.select(F.col(value).alias("v")).withColumn("b", F.floor(F.col("v") / width))
-    s = starts.select(F.col(start).alias("s"), F.col(name).alias("n")).withColumn("b", F.floor(F.col("s") / width))
-    last = s.groupBy("b").agg(F.max(F.struct("s", "n")).alias("x"))
-    blocks = v.select("b").distinct().join(last, "b", "full")
+    entry = F.struct(F.col(start).alias("s"), F.col(name).alias("n"))
+    v = values.select(F.col(value).alias("at"), F.lit(1).alias("turn"), F.lit(None).cast(starts.select(entry.alias("x")).schema["x"].dataType).alias("x"))
+    s = starts.where(F.col(start).isNotNull()).select(F.col(start).alias("at"), F.lit(0).alias("turn"), entry.alias("x"))
+    rows = v.unionByName(s).withColumn("b", F.floor(F.col("at") / width))
+    last = rows.where("turn = 0").groupBy("b").agg(F.max(F.struct("at", "x"))["x"].alias("x"))
+    blocks = rows.select("b").distinct().join(last, "b", "left")
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.withColumn("prior", F.last("x", ignorenulls=True).over(before)).select("b", "prior")
-    near = v.join(s, ["b"]).where("s <= v").groupBy("v").agg(F.max(F.struct("s", "n")).alias("x"))
-    out = v.join(near, "v", "left").join(carried, "b", "left").withColumn("y", F.coalesce("x", "prior"))
-    return out.where("y is not null").select(F.col("v").alias(value), F.col("y.s").alias(start), F.col("y.n").alias(name))
+    carried = blocks.select("b", F.last("x", ignorenulls=True).over(before).alias("prior"))
+    along = F.last("x", ignorenulls=True).over(Window.partitionBy("b").orderBy("at", "turn", "x").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("near", along).where("turn = 1").join(carried, "b", "left").withColumn("y", F.coalesce("near", "prior"))
+    return out.where("y is not null").select(F.col("at").alias(value), F.col("y.s").alias(start), F.col("y.n").alias(name))
 
 
 # --- groupings and rankings ---------------------------------------------------------------------------------
