@@ -109,5 +109,6 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = 100, min_left: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality`` keeps."""
-    good = base_rules(docs, text).where("not __base_failed").withColumns(_keys(text, host))
-    return good.join(depleted(docs, text, host, max_texts, min_left), ["__host", "__text"], "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("__body"), F.col(host).alias("__from"))
+    good = base_rules(rows, "__body").where("not __base_failed").select("row", *(c.alias(k) for k, c in _keys("__body", "__from").items()))
+    return good.join(depleted(docs, text, host, max_texts, min_left), ["__host", "__text"], "left_anti").select("row.*")

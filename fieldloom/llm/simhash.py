@@ -221,6 +221,7 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     """
     groups = near_duplicates(docs, key, text, bits, shingle)
     kept = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    rows = docs.join(kept, docs[key] == F.col("__kept"), "left_semi")
-    one = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.crc32(F.coalesce(F.col(text), F.lit("")))))).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
+    rows = whole.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    one = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))).where("__turn = 1")
+    return one.select("row").union(whole.where("__key is null").select("row")).select("row.*")
