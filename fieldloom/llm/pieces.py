@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import few_rows_a_batch
-from .words import Index, mix, texts_of
+from .words import Index, texts_of
 
 _UNIT = re.compile(rb" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: How much an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 #: Units whose pieces a task remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Bytes of units of one length that advance together.
 TOGETHER = 1 << 18
 
@@ -81,7 +81,7 @@ class Codec:
         h = 0
         for b in piece:
             h = (h * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
-        return int(mix(np.array([h], np.uint64))[0])
+        return h
 
     def _units(self, units: list[bytes]) -> list[tuple[int, ...]]:
         """Pieces of units of one length."""
@@ -101,7 +101,7 @@ class Codec:
         for end in range(1, size + 1):
             m = np.arange(min(self.longest, end), 0, -1)
             starts = end - m
-            place = self.index.find(mix(prefix[end] - prefix[starts] * power[m][:, None]).ravel()).reshape(len(m), n)
+            place = self.index.find((prefix[end] - prefix[starts] * power[m][:, None]).ravel()).reshape(len(m), n)
             hit = place > 0
             score = np.where(hit, best[starts] + self.score[np.maximum(place, 1) - 1], -np.inf)
             top = np.argmax(score, axis=0)
