@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import algebra_queries, graph_queries, relational_queries, rewriting_queries
+from . import algebra_queries, graph_queries, merge_queries, relational_queries, rewriting_queries
 
-_ALL = (relational_queries, algebra_queries, graph_queries, rewriting_queries)
+_ALL = (relational_queries, algebra_queries, graph_queries, rewriting_queries, merge_queries)
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _ALL for k, s in m.ORACLES.items()}
