@@ -116,16 +116,16 @@ def ex12(spark, d):
 
 
 @query("ex10_to_constraint", f"WITH {S} SELECT coni AS expr, part, signal, CASE part WHEN 'C' THEN 257 - coef ELSE coef END AS coef FROM term")
-def ex10(spark, d):
-    return E.to_constraint(D.terms(spark, d, 2).withColumnRenamed("coni", "expr"), FIELD)
+def ex10(spark, d, most=2):
+    return E.to_constraint(D.terms(spark, d, most).withColumnRenamed("coni", "expr"), FIELD)
 
 
 EXPANDED = "m AS (SELECT coni, least(a.signal, b.signal) AS s1, greatest(a.signal, b.signal) AS s2, a.coef * b.coef AS coef FROM term a JOIN term b USING (coni) WHERE a.part = 'A' AND b.part = 'B' UNION ALL SELECT coni, 0, signal, {c} FROM term WHERE part = 'C')"
 
 
 @query("ex11_to_sum", f"WITH {S}, {EXPANDED.format(c='coef')} SELECT coni AS expr, CASE WHEN s1 = 0 THEN 'lin' ELSE 'mul' END AS kind, CASE WHEN s1 = 0 THEN s2 ELSE s1 END AS s1, CASE WHEN s1 <> 0 THEN s2 END AS s2, CAST(sum(coef) % 257 AS BIGINT) AS coef FROM m GROUP BY 1, m.s1, m.s2 HAVING sum(coef) % 257 <> 0")
-def ex11(spark, d):
-    return E.to_sum(D.terms(spark, d, 2).withColumnRenamed("coni", "expr"), FIELD)
+def ex11(spark, d, most=2):
+    return E.to_sum(D.terms(spark, d, most).withColumnRenamed("coni", "expr"), FIELD)
 
 
 KINDS = "kinds(k) AS (VALUES ('number'), ('signal'), ('linear'), ('quadratic'), ('nonquadratic'))"
@@ -160,8 +160,8 @@ def ex13(spark, d):
     "ex17_relaxed_orders",
     f"WITH {S}, inc AS (SELECT DISTINCT coni, signal FROM term), o AS (SELECT signal, signal % 9 + 1 AS ord FROM (SELECT DISTINCT signal FROM inc)), t AS (SELECT coni, sum(ord) AS total FROM inc JOIN o USING (signal) GROUP BY 1) SELECT signal, CAST(min(least(ord, total - ord + 1)) AS BIGINT) AS ord FROM inc JOIN o USING (signal) JOIN t USING (coni) GROUP BY signal",
 )
-def ex17(spark, d):
-    inc = R.incidence(D.terms(spark, d, 2))
+def ex17(spark, d, most=2):
+    inc = R.incidence(D.terms(spark, d, most))
     return E.relaxed_orders(inc, inc.select("signal").distinct().withColumn("ord", F.col("signal") % 9 + 1))
 
 
@@ -203,8 +203,8 @@ def nrm6(spark, d):
 
 
 @query("nrm8_without_repeats", f"WITH {S}, h AS (SELECT coni, string_agg(part || signal || '*' || coef, '.' ORDER BY part, signal) AS h FROM term GROUP BY 1) SELECT coni, part, signal, coef FROM term WHERE coni IN (SELECT min(coni) FROM h GROUP BY h)")
-def nrm8(spark, d):
-    return N.without_repeats(D.terms(spark, d, 2))
+def nrm8(spark, d, most=2):
+    return N.without_repeats(D.terms(spark, d, most))
 
 
 _H = "coalesce(string_agg(signal || '*' || coef, '.' ORDER BY signal, coef) FILTER (part = '{}'), '')"
@@ -221,5 +221,5 @@ def nrm7(spark, d):
 
 
 @query("nrm11_monomials", f"WITH {S}, {EXPANDED.format(c='257 - coef')}, t AS (SELECT coni, s1, s2, CAST(sum(coef) % 257 AS BIGINT) AS c FROM m GROUP BY 1, 2, 3 HAVING sum(coef) % 257 <> 0) SELECT coni, s1, s2, CASE WHEN c >= 129 THEN c - 257 ELSE c END AS coef FROM t")
-def nrm11(spark, d):
-    return N.monomials(D.terms(spark, d, 2))
+def nrm11(spark, d, most=2):
+    return N.monomials(D.terms(spark, d, most))

@@ -27,31 +27,31 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def sparse(spark, d):
-    t = D.terms(spark, d, 2)
+def sparse(spark, d, most=None):
+    t = D.terms(spark, d, most)
     return t, R.incidence(t)
 
 
-def graph(spark, d):
-    return R.shared_signals(sparse(spark, d)[1])
+def graph(spark, d, most=None):
+    return R.shared_signals(sparse(spark, d, most)[1])
 
 
-def arrows(spark, d):
-    return R.both_ways(graph(spark, d))
+def arrows(spark, d, most=None):
+    return R.both_ways(graph(spark, d, most))
 
 
-def starts(spark, d, k=7):
-    return sparse(spark, d)[1].where(F.col("coni") % 100 == k).select(F.col("coni").alias("node")).distinct()
+def starts(spark, d, k=7, most=None):
+    return sparse(spark, d, most)[1].where(F.col("coni") % 100 == k).select(F.col("coni").alias("node")).distinct()
 
 
 @query("gt1_distances", f"{S}, {EDGE}, w AS (SELECT DISTINCT coni AS node, 0 AS d FROM inc WHERE coni % 100 = 7 UNION SELECT dst, d + 1 FROM w JOIN e ON src = node WHERE d < 40) SELECT node, CAST(min(d) AS BIGINT) AS d FROM w GROUP BY node")
-def gt1(spark, d):
-    return G.distances(arrows(spark, d), starts(spark, d))
+def gt1(spark, d, most=2):
+    return G.distances(arrows(spark, d, most), starts(spark, d, 7, most))
 
 
 @query("gt2_signal_distances", f"{S}, w AS (SELECT DISTINCT signal, 0 AS d FROM inc WHERE signal % 100 = 5 UNION SELECT b.signal, d + 1 FROM w JOIN inc a USING (signal) JOIN inc b ON a.coni = b.coni WHERE d < 40) SELECT signal, CAST(min(d) AS BIGINT) AS d FROM w GROUP BY signal")
-def gt2(spark, d):
-    inc = sparse(spark, d)[1]
+def gt2(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     return G.signal_distances(inc, inc.where("signal % 100 = 5").select("signal").distinct())
 
 
@@ -59,29 +59,29 @@ UP = "f AS (SELECT DISTINCT coni AS node FROM inc WHERE coni % 100 = 7 UNION SEL
 
 
 @query("gt3_between", f"{S}, {EDGE}, {UP} SELECT node FROM f INTERSECT SELECT node FROM b")
-def gt3(spark, d):
-    return G.between(graph(spark, d), starts(spark, d), starts(spark, d, 9))
+def gt3(spark, d, most=2):
+    return G.between(graph(spark, d, most), starts(spark, d, 7, most), starts(spark, d, 9, most))
 
 
 @query("gt5_reachable", f"{S}, {EDGE}, {UP} SELECT count(*) > 0 AS reachable FROM (SELECT node FROM f INTERSECT SELECT DISTINCT coni FROM inc WHERE coni % 100 = 9)")
-def gt5(spark, d):
-    found = G.distances(graph(spark, d), starts(spark, d))
-    return found.join(starts(spark, d, 9), "node", "left_semi").agg((F.count("*") > 0).alias("reachable"))
+def gt5(spark, d, most=2):
+    found = G.distances(graph(spark, d, most), starts(spark, d, 7, most))
+    return found.join(starts(spark, d, 9, most), "node", "left_semi").agg((F.count("*") > 0).alias("reachable"))
 
 
 @query("gt6_lightest", f"{S}, {EDGE}, w AS (SELECT DISTINCT coni AS node, 0 AS d FROM inc WHERE coni % 100 = 7 UNION SELECT dst, d + weight FROM w JOIN e ON src = node WHERE d < 60) SELECT node, CAST(min(d) AS BIGINT) AS d FROM w GROUP BY node")
-def gt6(spark, d):
-    return G.lightest(arrows(spark, d), starts(spark, d))
+def gt6(spark, d, most=2):
+    return G.lightest(arrows(spark, d, most), starts(spark, d, 7, most))
 
 
 @query("gt7_components", f"{S}, {CC.format(i='inc')} SELECT coni, component FROM cc")
-def gt7(spark, d):
-    return G.constraint_components(sparse(spark, d)[1])
+def gt7(spark, d, most=2):
+    return G.constraint_components(sparse(spark, d, most)[1])
 
 
 @query("gt8_linear_clusters", f"{S}, {NONLINEAR}, li AS (SELECT * FROM inc WHERE coni NOT IN (SELECT coni FROM nl)), {CC.format(i='li')} SELECT coni, component FROM cc")
-def gt8(spark, d):
-    t, inc = sparse(spark, d)
+def gt8(spark, d, most=2):
+    t, inc = sparse(spark, d, most)
     return G.constraint_components(inc.join(R.nonlinear(t), "coni", "left_anti"))
 
 
@@ -91,8 +91,8 @@ def gt9(spark, d):
 
 
 @query("gt12_cores", f"{S}, {NONLINEAR}, ni AS (SELECT * FROM inc WHERE coni IN (SELECT coni FROM nl)), {CC.format(i='ni')} SELECT coni, component AS core FROM cc")
-def gt12(spark, d):
-    t, inc = sparse(spark, d)
+def gt12(spark, d, most=2):
+    t, inc = sparse(spark, d, most)
     return G.nonlinear_cores(inc, R.nonlinear(t))
 
 
@@ -100,25 +100,25 @@ CORES = f"{S}, {NONLINEAR}, ni AS (SELECT * FROM inc WHERE coni IN (SELECT coni
 
 
 @query("gt13_linear_bridges", f"{CORES}, touch AS (SELECT lc.component FROM li JOIN lc USING (coni) JOIN inc n ON n.signal = li.signal JOIN cc ON cc.coni = n.coni GROUP BY 1 HAVING count(DISTINCT cc.component) > 1) SELECT coni, component FROM lc WHERE component IN (SELECT component FROM touch)")
-def gt13(spark, d):
-    t, inc = sparse(spark, d)
+def gt13(spark, d, most=2):
+    t, inc = sparse(spark, d, most)
     return G.linear_bridges(inc, R.nonlinear(t))
 
 
 @query("gt14_grown", f"{S}, {EDGE}, w AS (SELECT DISTINCT coni AS root, coni AS node, 0 AS d FROM inc WHERE coni % 100 = 7 UNION SELECT root, dst, d + 1 FROM w JOIN e ON src = node WHERE src < dst AND d < 2) SELECT DISTINCT root, node FROM w")
-def gt14(spark, d):
-    return G.grown(graph(spark, d), starts(spark, d), 2)
+def gt14(spark, d, most=2):
+    return G.grown(graph(spark, d, most), starts(spark, d, 7, most), 2)
 
 
 @query("pre1_connected", f"{S}, {CC.format(i='inc')} SELECT coni FROM cc WHERE component IN (SELECT component FROM cc JOIN inc USING (coni) WHERE signal <= 220)")
-def pre1(spark, d):
-    inc = sparse(spark, d)[1]
+def pre1(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     return G.connected_to(inc, inc.where("signal <= 220").select("signal").distinct())
 
 
 @query("pre2_component_plan", f"{S}, {CC.format(i='inc')}, z AS (SELECT component, count(*) AS size FROM cc GROUP BY 1) SELECT component, size, CASE WHEN component NOT IN (SELECT component FROM cc JOIN inc USING (coni) WHERE signal <= 220) THEN 'drop' WHEN size <= 4 THEN 'whole' ELSE 'cluster' END AS plan FROM z")
-def pre2(spark, d):
-    inc = sparse(spark, d)[1]
+def pre2(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     return G.component_plan(inc, inc.where("signal <= 220").select("signal").distinct(), least=4)
 
 
@@ -135,26 +135,26 @@ def cl5b(spark, d):
 
 
 @query("cl6_completed", f"{S}, {NONLINEAR}, ni AS (SELECT * FROM inc WHERE coni IN (SELECT coni FROM nl)), {CC.format(i='ni')} SELECT coni, component AS cluster FROM cc UNION ALL SELECT DISTINCT coni, coni FROM inc WHERE coni NOT IN (SELECT coni FROM nl)")
-def cl6(spark, d):
-    t, inc = sparse(spark, d)
+def cl6(spark, d, most=2):
+    t, inc = sparse(spark, d, most)
     return G.completed(inc, G.nonlinear_cores(inc, R.nonlinear(t)).withColumnRenamed("core", "cluster"))
 
 
 @query("cl8_without_signals", f"{S}, k AS (SELECT * FROM inc WHERE signal % 3 <> 0), {CC.format(i='k')} SELECT coni, component AS cluster FROM cc UNION ALL SELECT DISTINCT coni, coni FROM inc WHERE coni NOT IN (SELECT coni FROM k)")
-def cl8(spark, d):
-    inc = sparse(spark, d)[1]
+def cl8(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     return G.without_signals(inc, inc.where("signal % 3 = 0").select("signal").distinct())
 
 
 @query("cl9_without_constraints", f"{S}, k AS (SELECT coni AS signal, signal AS coni FROM inc WHERE coni % 3 <> 0), {CC.format(i='k')} SELECT coni AS signal, component AS cluster FROM cc UNION ALL SELECT DISTINCT signal, signal FROM inc WHERE signal NOT IN (SELECT coni FROM k)")
-def cl9(spark, d):
-    inc = sparse(spark, d)[1]
+def cl9(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     return G.without_constraints(inc, inc.where("coni % 3 = 0").select("coni").distinct())
 
 
 @query("cl11_twice_average_degree", f"{S}, dg AS (SELECT signal, count(*) AS n FROM inc GROUP BY 1), k AS (SELECT * FROM inc WHERE signal IN (SELECT signal FROM dg WHERE n < 2 * (SELECT sum(n) // count(*) FROM dg))), {CC.format(i='k')} SELECT coni, component AS cluster FROM cc UNION ALL SELECT DISTINCT coni, coni FROM inc WHERE coni NOT IN (SELECT coni FROM k)")
-def cl11(spark, d):
-    inc = sparse(spark, d)[1]
+def cl11(spark, d, most=2):
+    inc = sparse(spark, d, most)[1]
     (mean,) = R.degree_average(inc, "mean").select("value").first()
     return G.without_signals(inc, R.degrees(inc).where(F.col("degree") >= 2 * mean))
 
@@ -177,18 +177,18 @@ ORACLES.pop("cl13_without_equalities")  # its closure is one component of thousa
 
 
 @query("cl17_inner_edges", f"{S}, {EDGE}, {CC.format(i='inc')} SELECT src, dst, weight FROM e WHERE src < dst AND src % 5 = dst % 5")
-def cl17(spark, d):
-    parts = sparse(spark, d)[1].select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
-    return G.inner_edges(graph(spark, d), parts)
+def cl17(spark, d, most=2):
+    parts = sparse(spark, d, most)[1].select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
+    return G.inner_edges(graph(spark, d, most), parts)
 
 
 MOD = "k AS (SELECT src AS node, sum(weight) AS k FROM e GROUP BY 1), tot AS (SELECT node % 5 AS c, sum(k) AS tot FROM k GROUP BY 1), ins AS (SELECT src % 5 AS c, sum(weight) AS ins FROM e WHERE src < dst AND src % 5 = dst % 5 GROUP BY 1), m AS (SELECT sum(tot) / 2.0 AS m FROM tot)"
 
 
 @query("cl18_modularity", f"{S}, {EDGE}, {MOD} SELECT CAST(round(sum(coalesce(ins, 0)) / any_value(m) - sum(tot * tot) / (4.0 * any_value(m) * any_value(m)), 6) AS DOUBLE) AS modularity FROM tot LEFT JOIN ins USING (c), m")
-def cl18(spark, d):
-    parts = sparse(spark, d)[1].select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
-    return G.modularity(graph(spark, d), parts).select(F.round("modularity", 6).alias("modularity"))
+def cl18(spark, d, most=2):
+    parts = sparse(spark, d, most)[1].select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
+    return G.modularity(graph(spark, d, most), parts).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query("cl1_louvain")
@@ -197,8 +197,8 @@ def cl1(spark, d):
 
 
 @query("cl4_resolution", f"{S}, {EDGE}, z AS (SELECT CAST(sum(weight) AS DOUBLE) AS m2 FROM e) SELECT 'expected' AS rule, m2 / 10000.0 AS value FROM z UNION ALL SELECT 'log2', round(m2 / power(log2(m2 / 2), 2), 6) FROM z")
-def cl4(spark, d):
-    m2 = arrows(spark, d).agg(F.sum("weight").cast("double").alias("m2"))
+def cl4(spark, d, most=2):
+    m2 = arrows(spark, d, most).agg(F.sum("weight").cast("double").alias("m2"))
     rules = F.array(F.struct(F.lit("expected").alias("rule"), (F.col("m2") / 10000).alias("value")), F.struct(F.lit("log2").alias("rule"), F.round(F.col("m2") / F.pow(F.log2(F.col("m2") / 2), 2), 6).alias("value")))
     return m2.select(F.inline(rules))
 
@@ -212,8 +212,8 @@ ROUND = "SELECT src AS node, label, sum(weight) AS w FROM (SELECT src, {old}.lab
 
 
 @query("cl16_labels_two_rounds", f"{S}, {EDGE}, l0 AS (SELECT DISTINCT src AS node, src AS label FROM e), l1 AS (SELECT node, label FROM ({ROUND.format(old='l0')}) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1), l2 AS (SELECT node, label FROM ({ROUND.format(old='l1')}) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1) SELECT * FROM l2")
-def cl16b(spark, d):
-    return G.propagated_labels(graph(spark, d), rounds=2)
+def cl16b(spark, d, most=2):
+    return G.propagated_labels(graph(spark, d, most), rounds=2)
 
 
 def dag(spark, d):

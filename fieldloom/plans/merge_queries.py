@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def _merged(spark, d, kind):
     inc, parts, arcs, inputs, outputs = dag(spark, d)
-    return parts, arcs, M.merged_parts(inc, D.terms(spark, d, 2), parts, arcs, inputs, outputs, kind)
+    return parts, arcs, M.merged_parts(inc, D.terms(spark, d), parts, arcs, inputs, outputs, kind)
 
 
 for _name, _kind in {"dg6_merge_passthrough": "passthrough", "dg7_merge_only_nonlinear": "only_nonlinear", "dg8_merge_single_linear": "single_linear", "dg9_merge_unsafe_linear": "unsafe_linear"}.items():
@@ -32,9 +32,9 @@ def cl15(spark, d):
     return M.highly_connected_clusters(graph(spark, d))
 
 
-def modularity_at(spark, d):
-    edges = graph(spark, d)
-    parts = R.incidence(D.terms(spark, d, 2)).select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
+def modularity_at(spark, d, most=2):
+    edges = graph(spark, d, most)
+    parts = R.incidence(D.terms(spark, d, most)).select("coni", (F.col("coni") % 5).alias("cluster")).distinct()
     return G.modularity(edges, parts, resolution=1.5).select(F.round("modularity", 6).alias("modularity"))
 
 

@@ -192,13 +192,13 @@ def jn5(spark, d):
 
 
 @query("jn6_adjacency", f"WITH {S}, {INC}, e AS (SELECT a.coni AS src, b.coni AS dst, count(*) AS weight FROM inc a JOIN inc b ON a.signal = b.signal AND a.coni <> b.coni GROUP BY 1, 2) SELECT * FROM e")
-def jn6(spark, d):
-    return R.both_ways(R.shared_signals(R.incidence(D.terms(spark, d, 2))))
+def jn6(spark, d, most=2):
+    return R.both_ways(R.shared_signals(R.incidence(D.terms(spark, d, most))))
 
 
 @query("jn7_neighbours", f"WITH {S}, {INC} SELECT DISTINCT a.coni AS src, b.coni AS dst FROM inc a JOIN inc b ON a.signal = b.signal AND a.coni <> b.coni")
-def jn7(spark, d):
-    return R.both_ways(R.shared_signals(R.incidence(D.terms(spark, d, 2)))).select("src", "dst").distinct()
+def jn7(spark, d, most=2):
+    return R.both_ways(R.shared_signals(R.incidence(D.terms(spark, d, most)))).select("src", "dst").distinct()
 
 
 PARTS = "parts AS (SELECT DISTINCT coni, coni % 50 AS part_id FROM term)"
@@ -209,8 +209,8 @@ def parts_of(t: DataFrame, n: int = 50) -> DataFrame:
 
 
 @query("jn8_part_neighbours", f"WITH {S}, {INC}, {PARTS}, h AS (SELECT DISTINCT signal, part_id FROM inc JOIN parts USING (coni)) SELECT DISTINCT a.part_id AS src, b.part_id AS dst FROM h a JOIN h b ON a.signal = b.signal AND a.part_id < b.part_id")
-def jn8(spark, d):
-    t = D.terms(spark, d, 2)
+def jn8(spark, d, most=2):
+    t = D.terms(spark, d, most)
     return R.part_neighbours(R.incidence(t), parts_of(t))
 
 
@@ -218,8 +218,8 @@ def jn8(spark, d):
     "jn9_weighted_part_neighbours",
     f"WITH {S}, {INC}, {PARTS}, h AS (SELECT DISTINCT signal, part_id FROM inc JOIN parts USING (coni)), e AS (SELECT DISTINCT a.part_id AS src, b.part_id AS dst FROM h a JOIN h b ON a.signal = b.signal AND a.part_id <> b.part_id), n AS (SELECT part_id AS dst, count(*) AS w FROM parts WHERE coni IN (SELECT coni FROM term GROUP BY coni HAVING bool_or(part = 'A') AND bool_or(part = 'B')) GROUP BY 1) SELECT src, e.dst, coalesce(w, 0) AS weight FROM e LEFT JOIN n ON e.dst = n.dst",
 )
-def jn9(spark, d):
-    t = D.terms(spark, d, 2)
+def jn9(spark, d, most=2):
+    t = D.terms(spark, d, most)
     return R.weighted_part_neighbours(R.incidence(t), parts_of(t), R.nonlinear(t))
 
 
@@ -261,15 +261,15 @@ def jn12(spark, d):
 
 
 @query("jn15_arc_signals", f"WITH {S}, {INC}, {PARTS}, h AS (SELECT DISTINCT signal, part_id FROM inc JOIN parts USING (coni)), on_ AS (SELECT a.part_id AS src, b.part_id AS dst, a.signal FROM h a JOIN h b ON a.signal = b.signal AND a.part_id + 1 = b.part_id) SELECT src AS node, signal, 'out' AS role FROM on_ UNION SELECT dst, signal, 'in' FROM on_")
-def jn15(spark, d):
-    t = D.terms(spark, d, 2)
+def jn15(spark, d, most=2):
+    t = D.terms(spark, d, most)
     arcs = parts_of(t).select(F.col("part_id").alias("src"), (F.col("part_id") + 1).alias("dst")).distinct()
     return R.arc_signals(R.incidence(t), parts_of(t), arcs)
 
 
 @query("jn16_parents", f"WITH {S}, {INC}, {PARTS}, h AS (SELECT DISTINCT signal, part_id FROM inc JOIN parts USING (coni)), e AS (SELECT DISTINCT a.part_id AS src, b.part_id AS dst FROM h a JOIN h b ON a.signal = b.signal AND a.part_id < b.part_id) SELECT dst AS node, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS parents FROM e GROUP BY dst")
-def jn16(spark, d):
-    t = D.terms(spark, d, 2)
+def jn16(spark, d, most=2):
+    t = D.terms(spark, d, most)
     return R.part_neighbours(R.incidence(t), parts_of(t)).groupBy(F.col("dst").alias("node")).agg(R.joined(R.sorted_list("src")).alias("parents"))
 
 
@@ -302,8 +302,8 @@ def agg2(spark, d):
     "agg4_shape_classes",
     f"WITH {S}, {INC}, {PARTS}, f AS (SELECT part_id, count(DISTINCT coni) AS n_con, count(DISTINCT signal) AS n_sig FROM inc JOIN parts USING (coni) GROUP BY 1) SELECT part_id, n_con, n_sig, min(part_id) OVER (PARTITION BY n_con, n_sig) AS class_id FROM f",
 )
-def agg4(spark, d):
-    t = D.terms(spark, d, 2)
+def agg4(spark, d, most=2):
+    t = D.terms(spark, d, most)
     f = R.incidence(t).join(parts_of(t), "coni").groupBy("part_id").agg(F.countDistinct("coni").alias("n_con"), F.countDistinct("signal").alias("n_sig"))
     return f.withColumn("class_id", F.min("part_id").over(Window.partitionBy("n_con", "n_sig")))
 
@@ -312,13 +312,13 @@ def agg4(spark, d):
     "agg5_multiset_classes",
     f"WITH {S}, c AS (SELECT coni, coef, count(*) AS n FROM term GROUP BY ALL), k AS (SELECT coni, string_agg(CAST(coef AS VARCHAR) || 'x' || n, ';' ORDER BY coef) AS k FROM c GROUP BY 1) SELECT min(coni) OVER (PARTITION BY k) AS class_id, coni FROM k",
 )
-def agg5(spark, d):
-    return R.multiset_classes(D.terms(spark, d, 2), "coni", "coef")
+def agg5(spark, d, most=2):
+    return R.multiset_classes(D.terms(spark, d, most), "coni", "coef")
 
 
 @query("agg6_single_occurrences", f"WITH {S}, {INC} SELECT signal, n, first FROM (SELECT signal, count(*) AS n, min(coni) AS first FROM inc GROUP BY 1) WHERE n = 1")
-def agg6(spark, d):
-    return R.occurrences(R.incidence(D.terms(spark, d, 2))).where("n = 1")
+def agg6(spark, d, most=2):
+    return R.occurrences(R.incidence(D.terms(spark, d, most))).where("n = 1")
 
 
 @query("agg7_linear_occurrences", f"WITH {L} SELECT signal, count(DISTINCT coni) AS n FROM link WHERE signal <> 0 GROUP BY signal")
@@ -376,8 +376,8 @@ def win2(spark, d):
 
 
 @query("win3_dense_witness", f"WITH {S}, {INC} SELECT signal AS old, row_number() OVER (ORDER BY signal) AS new FROM (SELECT DISTINCT signal FROM inc)")
-def win3(spark, d):
-    return R.dense_ids(R.incidence(D.terms(spark, d, 2)), ["signal"]).select(F.col("signal").alias("old"), F.col("id").alias("new"))
+def win3(spark, d, most=2):
+    return R.dense_ids(R.incidence(D.terms(spark, d, most)), ["signal"]).select(F.col("signal").alias("old"), F.col("id").alias("new"))
 
 
 @query("win4_greatest_signal", f"WITH {L} SELECT coni, max(signal) AS signal FROM link WHERE signal <> 0 GROUP BY coni")
@@ -397,13 +397,13 @@ def win6(spark, d):
 
 
 @query("srt1_by_distance_vectors", f"WITH {S}, v AS (SELECT coni AS node, list_sort(list(coef)) AS v FROM term GROUP BY 1) SELECT node, row_number() OVER (ORDER BY v, node) AS place FROM v")
-def srt1(spark, d):
-    return R.by_distance_vectors(D.terms(spark, d, 2).select(F.col("coni").alias("node"), F.col("coef").alias("d")))
+def srt1(spark, d, most=2):
+    return R.by_distance_vectors(D.terms(spark, d, most).select(F.col("coni").alias("node"), F.col("coef").alias("d")))
 
 
 @query("srt2_sorted_parts", f"WITH {S} SELECT coni, part, string_agg(signal || ':' || coef, ' ' ORDER BY coef, signal) AS terms FROM term GROUP BY 1, 2")
-def srt2(spark, d):
-    rows = D.terms(spark, d, 2).groupBy("coni", "part").agg(F.sort_array(F.collect_list(F.struct("coef", "signal"))).alias("x"))
+def srt2(spark, d, most=2):
+    rows = D.terms(spark, d, most).groupBy("coni", "part").agg(F.sort_array(F.collect_list(F.struct("coef", "signal"))).alias("x"))
     return rows.select("coni", "part", F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["signal"].cast("string"), x["coef"].cast("string"))), " ").alias("terms"))
 
 

@@ -32,9 +32,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def plain(spark, d):
+def plain(spark, d, most=None):
     """The sparse system with all coefficients 1, where refinement goes deep."""
-    return D.terms(spark, d, 2).withColumn("coef", F.lit(1).cast("long"))
+    return D.terms(spark, d, most).withColumn("coef", F.lit(1).cast("long"))
 
 
 SLOT = "ord AS (SELECT coni, coalesce(list_sort(list(coef) FILTER (part = 'A')), []) <> coalesce(list_sort(list(coef) FILTER (part = 'B')), []) AS o FROM pt GROUP BY 1), slot AS (SELECT coni, signal, CASE WHEN any_value(o) THEN string_agg(part || coef, ',' ORDER BY part, coef) ELSE coalesce(string_agg(CAST(coef AS VARCHAR), '+' ORDER BY coef) FILTER (part <> 'C'), '') || '|' || coalesce(CAST(max(coef) FILTER (part = 'C') AS VARCHAR), '-') END AS s FROM pt JOIN ord USING (coni) GROUP BY 1, 2)"
@@ -51,13 +51,13 @@ ONES = f"{SP}, pt AS (SELECT coni, part, signal, 1 AS coef FROM term), {SLOT}"
 
 
 @query("fp1_constraint_colours", f"{ONES}, {_rounds(8)} SELECT coni, c AS color FROM c8")
-def fp1(spark, d):
-    return X.refined(plain(spark, d), most=12)[0]
+def fp1(spark, d, most=2):
+    return X.refined(plain(spark, d, most), most=12)[0]
 
 
 @query("fp1_signal_colours", f"{ONES}, {_rounds(8)} SELECT signal, c AS color FROM s8")
-def fp1b(spark, d):
-    return X.refined(plain(spark, d), most=12)[1]
+def fp1b(spark, d, most=2):
+    return X.refined(plain(spark, d, most), most=12)[1]
 
 
 @query("fp1_one_round", f"{T}, pt AS (SELECT * FROM term), {SLOT}, {_rounds(1)} SELECT coni, c AS color FROM c1")
@@ -70,8 +70,8 @@ def fp6(spark, d):
     return X.slots(D.terms(spark, d)).groupBy("coni").agg(F.countDistinct("slot").alias("slots"))
 
 
-def successors(spark, d):
-    inc = R.incidence(D.terms(spark, d, 2))
+def successors(spark, d, most=None):
+    inc = R.incidence(D.terms(spark, d, most))
     return R.shared_signals(inc).select("src", "dst"), inc.select(F.col("coni").alias("node"), F.lit(0).cast("long").alias("color")).distinct()
 
 
@@ -86,8 +86,8 @@ def _arc_rounds(n: int) -> str:
 
 
 @query("fp12_successor_colours", f"{ARCS}{_arc_rounds(12)} SELECT node, c AS color FROM n12")
-def fp12(spark, d):
-    return X.refined_nodes(*successors(spark, d))
+def fp12(spark, d, most=2):
+    return X.refined_nodes(*successors(spark, d, most))
 
 
 @query("fp14_signal_roles", f"{D.SIGNALS_SQL} SELECT role, count(*) AS n FROM sig GROUP BY role")
@@ -112,18 +112,18 @@ def eq10(spark, d):
 
 
 @query("eq1_shuffled_system", "r AS (SELECT true AS alike) SELECT * FROM r")
-def eq1(spark, d):
-    t = N.norms(D.terms(spark, d, 2)).where("choice = 1").select("coni", "part", "signal", "coef")
-    moved = N.norms(X.shuffled(D.terms(spark, d, 2), 7)).where("choice = 1").select("coni", "part", "signal", "coef")
+def eq1(spark, d, most=2):
+    t = N.norms(D.terms(spark, d, most)).where("choice = 1").select("coni", "part", "signal", "coef")
+    moved = N.norms(X.shuffled(D.terms(spark, d, most), 7)).where("choice = 1").select("coni", "part", "signal", "coef")
     got = X.same_system(t, moved)
     return spark.createDataFrame([(got["result"] is not False,)], "alike boolean")
 
 
 @query("sub1_size_classes", f"{SP}, z AS (SELECT coni, count(*) AS n FROM term GROUP BY 1), v AS (SELECT n, CASE WHEN lag(n) OVER (ORDER BY n) IS NULL OR NOT (n - lag(n) OVER (ORDER BY n) <= 1 OR lag(n) OVER (ORDER BY n) >= 0.8 * n) THEN n END AS s FROM (SELECT DISTINCT n FROM z)), g AS (SELECT n, max(s) OVER (ORDER BY n) AS class_size FROM v) SELECT coni, CAST(class_size AS BIGINT) AS class_size FROM z JOIN g USING (n)")
-def sub1(spark, d):
+def sub1(spark, d, most=2):
     from pyspark.sql import Window
 
-    sizes = D.terms(spark, d, 2).groupBy("coni").agg(F.count("*").alias("n"))
+    sizes = D.terms(spark, d, most).groupBy("coni").agg(F.count("*").alias("n"))
     w = Window.orderBy("n")
     steps = sizes.select("n").distinct().withColumn("before", F.lag("n").over(w))
     start = F.when(F.col("before").isNull() | ~((F.col("n") - F.col("before") <= 1) | (F.col("before") >= 0.8 * F.col("n"))), F.col("n"))
@@ -193,8 +193,8 @@ def sb7(spark, d):
     "sb10_fixed_constraints",
     f"{SP}, f AS (SELECT coni, bool_or(part = 'A') AS a, bool_or(part = 'B') AS b FROM term GROUP BY 1) SELECT coni, part, signal, coef FROM term JOIN f USING (coni) WHERE part = 'C' OR (a AND b)",
 )
-def sb10(spark, d):
-    return S.fixed_constraints(D.terms(spark, d, 2), FIELD)
+def sb10(spark, d, most=2):
+    return S.fixed_constraints(D.terms(spark, d, most), FIELD)
 
 
 @query("sb22_constants", f"{LK}, {INV}, low AS (SELECT * FROM link WHERE signal < 2000), c AS (SELECT coni, max(signal) AS s, arg_max(coef, signal) AS lead, coalesce(max(coef) FILTER (signal = 0), 0) AS k FROM low GROUP BY 1 HAVING max(signal) > 0), o AS (SELECT s, arg_min(lead, coni) AS lead, arg_min(k, coni) AS k FROM c WHERE s % 10 <> 0 GROUP BY 1) SELECT s AS from_sig, CAST(0 AS BIGINT) AS signal, (257 - k * y % 257) % 257 AS coef FROM o JOIN inv ON x = lead")
@@ -205,7 +205,7 @@ def sb22(spark, d):
 
 
 def small_links(spark, d):
-    return D.terms(spark, d, 2).where("part = 'C'")
+    return D.terms(spark, d).where("part = 'C'")
 
 
 @query("sb14_elimination")
@@ -222,13 +222,13 @@ def sb15(spark, d):
 
 @query("sb25_simplified")
 def sb25(spark, d):
-    t = D.terms(spark, d, 2)
+    t = D.terms(spark, d)
     return S.simplified(t, t.where("signal % 5 = 0").select("signal").distinct())
 
 
 @query("sb26_simplified_plonk")
 def sb26(spark, d):
-    t = D.terms(spark, d, 2)
+    t = D.terms(spark, d)
     return S.simplified(t, t.where("signal % 5 = 0").select("signal").distinct(), plonk=True)
 
 
@@ -299,8 +299,8 @@ def vf6(spark, d):
     "vf3_linear_bounds",
     f"{SP}, b AS (SELECT signal, max(lo) AS lo, min(hi) AS hi FROM ({DOM.replace('q AS (', '')} GROUP BY signal), t AS (SELECT coni, part, term.signal, CASE WHEN coef >= 129 THEN coef - 257 ELSE coef END AS c, coalesce(lo, 0) AS lo, coalesce(hi, 256) AS hi FROM term LEFT JOIN b USING (signal)) SELECT coni, part, CAST(sum(CASE WHEN c >= 0 THEN c * lo ELSE c * hi END) AS BIGINT) AS lo, CAST(sum(CASE WHEN c >= 0 THEN c * hi ELSE c * lo END) AS BIGINT) AS hi FROM t GROUP BY 1, 2",
 )
-def vf3(spark, d):
-    return V.linear_bounds(D.terms(spark, d, 2), V.tightened(V.domains(squares(spark, d), FIELD)), FIELD)
+def vf3(spark, d, most=2):
+    return V.linear_bounds(D.terms(spark, d, most), V.tightened(V.domains(squares(spark, d), FIELD)), FIELD)
 
 
 @query("vf8_deduced_bounds")
@@ -310,12 +310,12 @@ def vf8(spark, d):
 
 @query("vf10_determined")
 def vf10(spark, d):
-    t = D.terms(spark, d, 2)
+    t = D.terms(spark, d)
     return V.determined(t, t.where("signal % 3 <> 0").select("signal").distinct())
 
 
 def checked(spark, d):
-    t = D.terms(spark, d, 1)
+    t = D.terms(spark, d)
     inc = R.incidence(t)
     parts = G.constraint_components(inc).withColumnRenamed("component", "part_id")
     held = inc.join(parts, "coni").select("part_id", "signal").distinct()
@@ -343,8 +343,8 @@ def src9(spark, d):
 
 
 @query("snk3_node_records", f"{SP}, p AS (SELECT DISTINCT coni, coni % 50 AS n FROM term WHERE signal <> 0) SELECT n AS node_id, len(list(coni)) AS constraints FROM p GROUP BY n")
-def snk3(spark, d):
-    t = D.terms(spark, d, 2)
+def snk3(spark, d, most=2):
+    t = D.terms(spark, d, most)
     inc, parts = R.incidence(t), t.select("coni", (F.col("coni") % 50).alias("part_id")).distinct()
     arcs = R.part_neighbours(inc, parts)
     rows = files.node_records(parts, inc, R.arc_signals(inc, parts, arcs), arcs)
@@ -353,5 +353,5 @@ def snk3(spark, d):
 
 
 @query("snk10_dot", f"{SP}, e AS (SELECT DISTINCT a.coni AS src, b.coni AS dst FROM term a JOIN term b ON a.signal = b.signal AND a.coni < b.coni) SELECT src || ' -> ' || dst || ';' AS line FROM e")
-def snk10(spark, d):
-    return files.dot_rows(R.shared_signals(R.incidence(D.terms(spark, d, 2))))
+def snk10(spark, d, most=2):
+    return files.dot_rows(R.shared_signals(R.incidence(D.terms(spark, d, most))))
