@@ -1,0 +1,110 @@
+"""Near duplicates by similarity: MinHash finds pairs, their sets of shingles are compared whole.
+
+Texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. 80 least hashes in 20 bands of 4
+give candidates: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8^4)^20 = 2.7e-5, more similar ones with less.
+Every candidate is verified on the hashed sets, none is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import few_rows_a_batch, written
+from .words import texts_of
+
+SEED = 42
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 4
+_random = np.random.default_rng(SEED)
+TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; the whole of a shorter text is one, no word gives none."""
+    words = text.lower().split()
+    joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key a band, of its number and least hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        block = hashes[at : at + 2048, None] * TIMES + PLUS
+        least = np.minimum(least, (block ^ (block >> np.uint64(29))).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(rows)]
+
+
+def with_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(__key, same, hashes, bands): ``same`` is one number for equal sets."""
+    few_rows_a_batch(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x) for x in texts_of(batch.column(1))]
+            same = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+            lists = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), *lists], ["__key", "same", "hashes", "bands"])
+
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null")
+    return rows.mapInArrow(run, f"__key {rows.schema[0].dataType.simpleString()}, same long, hashes array<long>, bands array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    fits = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
+    both = pairs.join(left, "a").join(right, "b").where(fits).withColumn("n", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+
+
+def links(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
+    """Links (a, b) of keys that tie all similar documents, over as many steps as their groups need.
+
+    Documents of equal sets and rows of equal keys are tied first. Then members of a band's bucket meet its least one, and
+    last each other where those links have not joined them yet.
+    """
+    rows = written(with_sets(docs, key, text), "minhash-rows")
+    # a key with several texts has several sets: a node is a set, named by its own number
+    equal = rows.select(F.col("__key").cast("long").alias("key"), "same")
+    sets = written(rows.groupBy(F.col("same").alias("node")).agg(F.first("hashes").alias("hashes"), F.first("bands").alias("bands")), "minhash-sets")
+    buckets = written(sets.select("node", F.explode("bands").alias("band")), "minhash-bands")
+    first = buckets.groupBy("band").agg(F.min("node").alias("a"))
+    stars = buckets.join(first, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = written(_verified(stars, sets, least), "minhash-stars")
+    tied = components(stars, "a", "b")
+    part = buckets.join(tied, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
+    mixed = part.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
+    open_ = written(part.join(mixed, "band"), "minhash-open")
+    mate = open_.select("band", F.col("node").alias("b"), F.col("part").alias("other"))
+    rest = open_.withColumnRenamed("node", "a").join(mate, "band").where("a < b and part <> other").select("a", "b").distinct()
+    found = stars.union(_verified(rest, sets, least))
+    # back to keys: the least key of a set stands for it
+    lead = equal.groupBy("same").agg(F.min("key").alias("lead"))
+    ends = found.join(lead.select(F.col("same").alias("a"), F.col("lead").alias("p")), "a").join(lead.select(F.col("same").alias("b"), F.col("lead").alias("q")), "b")
+    return ends.select(F.col("p").alias("a"), F.col("q").alias("b")).union(equal.join(lead, "same").select(F.col("key").alias("a"), F.col("lead").alias("b")))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group that links reach the one with the smallest key.
+
+    Of several rows with that key, one stays. Rows with a null key stay. Texts null or without a word link with each other.
+    """
+    tied = components(links(docs, key, text, least), "a", "b")
+    gone = tied.where("node <> component").select(F.col("node").alias("__gone"))
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
+    rows = whole.where("__key is not null").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    one = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))).where("__turn = 1")
+    return one.select("row").union(whole.where("__key is null").select("row")).select("row.*")
