@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import cut, iterate
 from .relational import ordered_factors
 
+#: Rounds after which refinement to stable colours is given up with an error.
+GUARD = 1000
+
 
 def slots(terms: DataFrame) -> DataFrame:
     """(coni, signal, slot): what a signal is to a constraint, as text."""
@@ -38,8 +41,8 @@ def _key(*parts: Column) -> Column:
     return F.md5(text)
 
 
-def refined(terms: DataFrame, signals: DataFrame | None = None, most: int = 1000, by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """((coni, color), (signal, color)), stable. signals: (signal, role) with first colours; without it all are alike.
+def refined(terms: DataFrame, signals: DataFrame | None = None, most: int | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((coni, color), (signal, color)), stable unless ``most`` asks for so many rounds. signals: (signal, role) with first colours; without it all are alike.
 
     The constant keeps a colour of its own. Each round is two grouped hashes over the incidence; text keys of groups
     stand in one row, as long as the group. ``by`` is kept for callers that colour several systems in one table.
@@ -52,7 +55,7 @@ def refined(terms: DataFrame, signals: DataFrame | None = None, most: int = 1000
         first = used.join(signals, "signal", "left").withColumn("key", F.when(F.col("signal") == 0, "const").otherwise(F.coalesce("role", F.lit("none"))))
     sig = cut(_labelled(first.select("signal", "key"), "signal"))
     con, seen = None, None
-    for _ in range(most):
+    for _ in range(most or GUARD):
         rows = slot.join(sig, "signal")
         around = rows.groupBy("coni").agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col("color").cast("string"), "slot"))).alias("l"))
         if con is None:
@@ -66,6 +69,9 @@ def refined(terms: DataFrame, signals: DataFrame | None = None, most: int = 1000
         if now == seen:
             break
         seen = now
+    else:
+        if most is None:
+            raise RuntimeError(f"colours are not stable after {GUARD} rounds")
     return con, sig
 
 

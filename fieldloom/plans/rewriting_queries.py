@@ -52,12 +52,12 @@ ONES = f"{SP}, pt AS (SELECT coni, part, signal, 1 AS coef FROM term), {SLOT}"
 
 @query("fp1_constraint_colours", f"{ONES}, {_rounds(8)} SELECT coni, c AS color FROM c8")
 def fp1(spark, d, most=2):
-    return X.refined(plain(spark, d, most), most=12)[0]
+    return X.refined(plain(spark, d, most))[0]
 
 
 @query("fp1_signal_colours", f"{ONES}, {_rounds(8)} SELECT signal, c AS color FROM s8")
 def fp1b(spark, d, most=2):
-    return X.refined(plain(spark, d, most), most=12)[1]
+    return X.refined(plain(spark, d, most))[1]
 
 
 @query("fp1_one_round", f"{T}, pt AS (SELECT * FROM term), {SLOT}, {_rounds(1)} SELECT coni, c AS color FROM c1")
