@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,9 +119,9 @@ def used(exprs: dict[int, tuple], root: int) -> set[int]:
     return seen
 
 
-def keep_for_degree(exprs: dict[int, tuple], dims: dict[int, int | None], root: int, d: int, exact: int = 16) -> set[int] | None:
+def keep_for_degree(exprs: dict[int, tuple], dims: dict[int, int | None], root: int, d: int) -> set[int] | None:
     """The expressions to keep as columns (degree 1 where used) so that all have degree ``d`` at most, of least total
-    dimension, then fewest; None if there is none. Exact up to ``exact`` candidates, else the costliest are kept greedily."""
+    dimension, then fewest; None if there is none. Exact at all sizes, by branch and bound."""
     need = sorted(used(exprs, root) - {root})
     candidates = [i for i in need if dims.get(i) is not None]
 
@@ -138,18 +137,21 @@ def keep_for_degree(exprs: dict[int, tuple], dims: dict[int, int | None], root:
         lazy = Lazy()
         return degree(exprs[root], lazy) <= d and all(lazy[i] >= 0 and known[i] <= d for i in need if i in keep or i in known)
 
-    if valid(set()):
-        return set()
-    if len(candidates) <= exact:
-        options = (set(c) for n in range(1, len(candidates) + 1) for c in combinations(candidates, n))
-        return min((k for k in options if valid(k)), key=lambda k: (sum(dims[i] for i in k), len(k), sorted(k)), default=None)
-    keep = set(candidates)
-    if not valid(keep):
-        return None
-    for i in sorted(candidates, key=lambda i: (-dims[i], i)):
-        if valid(keep - {i}):
-            keep -= {i}
-    return keep
+    # keeping more never breaks what is valid: a branch is left where all that it may still keep is too little or too dear
+    order = sorted(candidates, key=lambda i: (-dims[i], i))
+    best: tuple[int, int, list[int]] | None = None
+    todo: list[tuple[int, frozenset[int]]] = [(0, frozenset())]
+    while todo:
+        at, keep = todo.pop()
+        now = sum(dims[i] for i in keep), len(keep), sorted(keep)
+        if (best is not None and now[:2] > best[:2]) or not valid(set(keep) | set(order[at:])):
+            continue
+        if valid(set(keep)):
+            if best is None or now < best:
+                best = now
+        elif at < len(order):
+            todo += [(at + 1, keep | {order[at]}), (at + 1, keep)]
+    return None if best is None else set(best[2])
 
 
 def best_degree(exprs: dict[int, tuple], dims: dict[int, int | None], root: int, most: int, q_dim: int) -> tuple[int, set[int], int] | None:
