@@ -67,12 +67,17 @@ def deduced_bounds(terms: DataFrame, f: Field, most: int = 50) -> DataFrame:
 
 
 def determined(terms: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
-    """(signal): what ``known`` (signal) determines: a constraint with one unknown signal left, which stands in C alone, fixes it."""
-    inc = cut(terms.where("signal <> 0").groupBy("coni", "signal").agg(F.bool_and(F.col("part") == "C").alias("only_c")))
+    """(signal): what ``known`` (signal) determines: a constraint with one unknown signal left fixes it, where
+    that stands in C alone, or in one factor alone and the other is a constant other than 0."""
+    other = lambda p: F.bool_or(F.col("part") == p) & ~F.coalesce(F.bool_or((F.col("part") == p) & (F.col("signal") != 0)), F.lit(False))
+    fixed = terms.groupBy("coni").agg(other("A").alias("a"), other("B").alias("b"))
+    alone = lambda p: F.bool_and(F.col("part") == p)
+    places = terms.where("signal <> 0").groupBy("coni", "signal").agg(*(alone(p).alias(f"only_{p.lower()}") for p in "ABC"))
+    inc = cut(places.join(fixed, "coni").select("coni", "signal", F.expr("only_c or (only_b and a) or (only_a and b)").alias("fixes")))
     found = cut(known.select("signal").distinct())
     while most:
         most -= 1
-        open_ = inc.join(found, "signal", "left_anti").groupBy("coni").agg(F.count("*").alias("n"), F.max("signal").alias("signal"), F.bool_and("only_c").alias("ok"))
+        open_ = inc.join(found, "signal", "left_anti").groupBy("coni").agg(F.count("*").alias("n"), F.max("signal").alias("signal"), F.bool_and("fixes").alias("ok"))
         new = cut(open_.where("n = 1 and ok").select("signal").distinct())
         if new.isEmpty():
             break
