@@ -23,13 +23,21 @@ from .shared import few_rows_a_batch
 from .words import Index, Words, split, texts_of
 
 WINDOW, STRIDE = 12, 8
-STATES, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
-GRAMS = (3, 4, 5)
-#: Bounds of the sample that training sees: labelled rows of each label, and characters of each row's text.
+STATES, WORD_DIM, CHAR_DIM, ATTEND = 16, 12, 12, 12
+#: Bytes of the n-grams.
+GRAMS = (3, 5, 7)
+#: Bound of the sample that training sees: labelled rows of each label, with their whole texts.
 SAMPLE = {1: 1500, 0: 2500}
-SAMPLE_CHARS = 8_000
-#: Texts of the sample that must hold a word or an n-gram for it to have a vector; most vectors of a kind.
-LEAST_TEXTS, MOST_VECTORS = 4, 40_000
+#: Size of the model's vocabulary: texts of the sample that must hold a word, and distinct words that must hold an
+#: n-gram, for it to have a vector of its own; the most vectors of a kind, the most frequent first. All other words
+#: share one vector, other n-grams have none.
+LEAST_TEXTS, MOST_VECTORS = 5, 60_000
+#: Fits that compete on the validation part, a fifth of the sample's rows.
+SEEDS, FOLD = (7, 1, 2), 5
+#: Share of words whose vectors a training step leaves out.
+DROPPED = 0.3
+#: A flagged clean text of the validation part weighs as much as this many missed toxic ones, in shares.
+CLEAN_WEIGHT = 4.0
 
 
 def char_grams(found: Words, which: np.ndarray, lengths: tuple[int, ...] = GRAMS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +68,12 @@ def _common(items: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.sort(items[np.lexsort((items, -n))[:MOST_VECTORS]])
 
 
+def _tops(text: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, highest logit of its windows); ``text`` is sorted."""
+    new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    return text[new], np.maximum.reduceat(logit, new)
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word) of overlapping windows that cover all words of each text."""
     n = np.diff(first)
@@ -88,7 +102,7 @@ class Network:
         rng = np.random.default_rng(seed)
         put = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(dtype)
         d, h = WORD_DIM + CHAR_DIM, STATES
-        self.words, self.grams = Index(words), Index(grams)
+        self.words, self.grams, self.threshold = Index(words), Index(grams), 0.0
         self.p = {"word": put(len(words) + 1, WORD_DIM, scale=0.1), "char": put(len(grams) + 1, CHAR_DIM, scale=0.1), "attend": put(2 * h, ATTEND, scale=0.3), "attend_bias": put(ATTEND, scale=0.0), "query": put(ATTEND, scale=0.5), "out": put(2 * h, scale=0.5), "bias": put(1, scale=0.0)}
         for side in "fb":
             self.p |= {f"in_{side}": put(d, 3 * h, scale=d**-0.5), f"bias_{side}": put(3 * h, scale=0.0), f"state_{side}": put(h, 3 * h, scale=h**-0.5)}
@@ -191,11 +205,9 @@ class Network:
             g[f"state_{s}"], g[f"bias_{s}"] = d_u, d_gates.sum(axis=(0, 1))
             g[f"in_{s}"] = np.einsum("ntd,ntg->dg", seen, d_gates)
             d_seen += d_gates @ p[f"in_{s}"].T
-        each = np.zeros_like(vectors)
-        np.add.at(each, index[real], d_seen[real])
-        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(g["word"], x.word, each[:, :WORD_DIM])
-        np.add.at(g["char"], x.gram, (each[:, WORD_DIM:] * x.weight[:, None])[x.owner])
+        each = _added(index[real], d_seen[real], len(vectors))
+        g["word"] = _added(x.word, each[:, :WORD_DIM], len(p["word"]))
+        g["char"] = _added(x.gram, (each[:, WORD_DIM:] * x.weight[:, None])[x.owner], len(p["char"]))
         return loss, g
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -203,9 +215,8 @@ class Network:
         found = split(texts)
         out = np.zeros(len(texts))
         if len(found.start):
-            text, logit = self.by_window(found)[:2]
-            new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            out[text[new]] = 1 / (1 + np.exp(-np.maximum.reduceat(logit, new).astype(np.float64)))
+            text, top = _tops(*self.by_window(found)[:2])
+            out[text] = 1 / (1 + np.exp(-(top.astype(np.float64) - self.threshold)))
         return out
 
     def by_window(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,23 +227,33 @@ class Network:
         return text, self.logits(table, _words_at(index, start, found.first[text + 1])), start
 
 
+def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows that go to each of ``n`` places."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], axis=1).astype(rows.dtype)
+
+
 def _words_at(index: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     at = start[:, None] + np.arange(WINDOW)
     return np.where(at < end[:, None], index[np.minimum(at, len(index) - 1)], -1)
 
 
 class _Adam:
+    """Adam; of a table of vectors only the rows that a step touches move."""
+
     def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
         self.p, self.rate, self.n = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict[str, np.ndarray], touched: dict[str, np.ndarray]) -> None:
         self.n += 1
         fix = self.rate * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= (fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(self.p[k].dtype)
+            at = touched.get(k, slice(None))
+            x, m, v = x[at], self.m[k][at], self.v[k][at]
+            m = m + 0.1 * (x - m)
+            v = v + 0.001 * (x * x - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.p[k][at] -= (fix * m / (np.sqrt(v) + 1e-7)).astype(self.p[k].dtype)
         self.p["char"][0] = 0
 
 
@@ -242,76 +263,128 @@ def _constant(net: Network, toxic: bool) -> Network:
     return net
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, first_steps: int = 500, rounds: int = 5, round_steps: int = 120, batch: int = 256) -> Network:
-    """A network from whole-text labels (0 or 1); with one label alone, or none, it finds all texts alike."""
-    found = split(texts)
-    if not len(found.start):
-        return _constant(Network(np.zeros(0, np.uint64), np.zeros(0, np.uint64), seed), False)
-    hashes, one, index = np.unique(found.hashes(), return_index=True, return_inverse=True)
-    held = np.unique(index * len(texts) + found.text) // len(texts)
-    words = _common(hashes, np.bincount(held, minlength=len(hashes)))
-    # n-grams count by the distinct words that hold them
-    counts = [np.unique(char_grams(found, one, (n,))[1], return_counts=True) for n in GRAMS]
-    net = Network(words, _common(*(np.concatenate(x) for x in zip(*counts, strict=True))), seed)
-    whole = net.inputs(found, one, hashes)
-    edge = np.searchsorted(whole.owner[order := np.argsort(whole.owner, kind="stable")], np.arange(len(one) + 1))
-    sorted_gram = whole.gram[order]
-    text, start = windows(found.first)
-    at, rng, adam = _words_at(index, start, found.first[text + 1]), np.random.default_rng(seed), _Adam(net.p, 0.01)
-
-    def learn(rows: np.ndarray, y: np.ndarray) -> None:
-        used, local = np.unique(at[rows], return_inverse=True)
-        local = local.reshape(at[rows].shape)
+class _Windows:
+    """All windows of labelled texts, as places of distinct words; texts themselves are not held."""
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray) -> None:
+        found = split(texts)
+        hashes, one, index = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        held = np.unique(index * len(texts) + found.text) // len(texts)
+        self.known = _common(hashes, np.bincount(held, minlength=len(hashes)))
+        # n-grams count by the distinct words that hold them
+        counts = [np.unique(char_grams(found, one, (n,))[1], return_counts=True) for n in GRAMS]
+        self.grams = _common(*(np.concatenate(x) for x in zip(*counts, strict=True)))
+        self.whole = Network(self.known, self.grams).inputs(found, one, hashes)
+        order = np.argsort(self.whole.owner, kind="stable")
+        self.edge = np.searchsorted(self.whole.owner[order], np.arange(len(one) + 1))
+        self.sorted_gram = self.whole.gram[order]
+        self.text, start = windows(found.first)
+        self.at = _words_at(index, start, found.first[self.text + 1]).astype(np.int32)
+        self.toxic = labels[self.text] == 1
+
+    def inputs(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[Inputs, np.ndarray]:
+        """Of some windows, with a share of their words' own vectors left out."""
+        used, local = np.unique(self.at[rows], return_inverse=True)
+        local = local.reshape(self.at[rows].shape)
         if used[0] < 0:
             used, local = used[1:], local - 1
-        count = edge[used + 1] - edge[used]
-        place = np.repeat(edge[used] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        x = Inputs(whole.word[used], np.repeat(np.arange(len(used)), count), sorted_gram[place], whole.weight[used])
-        adam.step(net.gradients(x, local, y)[1])
-
-    toxic = labels[text] == 1
-    sides = [np.flatnonzero(~toxic), np.flatnonzero(toxic)]
-    if not (len(sides[0]) and len(sides[1])):
-        return _constant(net, bool(len(sides[1])))
+        count = self.edge[used + 1] - self.edge[used]
+        place = np.repeat(self.edge[used] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        word = np.where(rng.random(len(used)) < DROPPED, 0, self.whole.word[used])
+        return Inputs(word, np.repeat(np.arange(len(used)), count), self.sorted_gram[place], self.whole.weight[used]), local
+
+
+def _trained(w: _Windows, use: np.ndarray, seed: int, first_steps: int, rounds: int, round_steps: int, batch: int) -> Network:
+    """A network from the windows of the texts that ``use`` marks."""
+    net = Network(w.known, w.grams, seed)
+    rng, adam = np.random.default_rng(seed), _Adam(net.p, 0.01)
+    mine = np.flatnonzero(use[w.text])
+    text, toxic = w.text[mine], w.toxic[mine]
+    sides = [mine[~toxic], mine[toxic]]
+
+    def learn(rows: np.ndarray) -> None:
+        x, local = w.inputs(rows, rng)
+        adam.step(net.gradients(x, local, w.toxic[rows].astype(np.float32))[1], {"word": np.unique(x.word), "char": np.unique(x.gram)})
+
     for _ in range(first_steps):
-        rows = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        learn(rows, toxic[rows].astype(np.float32))
+        learn(np.concatenate([rng.choice(s, batch // 2) for s in sides]))
     edges = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     for k in range(rounds):
         adam.rate = 0.005 / (k + 1) ** 0.5
-        logit = net.logits(net.table(net.vectors(whole)), at)
+        logit = net.logits(net.table(net.vectors(w.whole)), w.at[mine])
         order = np.lexsort((-logit, text))
         rank = np.empty(len(text), np.int64)
         rank[order] = np.arange(len(text)) - np.repeat(edges, np.diff(np.r_[edges, len(text)]))
-        hard = np.flatnonzero(np.where(toxic, rank < 1, (rank < 3) & (logit > -6)))
-        pools = [hard[~toxic[hard]], hard[toxic[hard]]]
+        hard = np.where(toxic, rank < 1, (rank < 3) & (logit > -6))
+        pools = [mine[hard & ~toxic], mine[hard & toxic]]
         for _ in range(round_steps):
             clean = np.concatenate([rng.choice(pools[0], batch // 4) if len(pools[0]) else pools[0], rng.choice(sides[0], batch // 4)])
-            rows = np.concatenate([clean, rng.choice(pools[1], batch // 2)])
-            learn(rows, toxic[rows].astype(np.float32))
+            learn(np.concatenate([clean, rng.choice(pools[1], batch // 2)]))
     return net
 
 
+def _judged(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """(quality, threshold) of texts' highest logits: the share of toxic texts found less the weighted share of clean
+    ones flagged, at its best threshold. Among equally good ones the one nearest 0 is taken."""
+    edges = np.unique(top)
+    tried = np.r_[0.0, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
+    found = 1 - np.searchsorted(np.sort(top[toxic]), tried) / max(1, toxic.sum())
+    flagged = 1 - np.searchsorted(np.sort(top[~toxic]), tried) / max(1, (~toxic).sum())
+    value = found - CLEAN_WEIGHT * flagged
+    best = int(np.lexsort((np.abs(tried), -value))[0])
+    return float(value[best]), float(tried[best])
+
+
+def fit(texts: list[bytes], labels: np.ndarray, seeds: tuple[int, ...] = SEEDS, first_steps: int = 300, rounds: int = 3, round_steps: int = 100, batch: int = 256) -> Network:
+    """A network from whole-text labels (0 or 1); with one label alone, or none, it finds all texts alike.
+
+    Every ``FOLD``-th text of each label is for validation: the others train a network for each seed, the one that tells the
+    validation texts apart best stays, with the threshold that does it. With under two texts of a label there, all texts
+    both train and validate.
+    """
+    labels = np.asarray(labels)
+    if not any(t.split() for t in texts):
+        return _constant(Network(np.zeros(0, np.uint64), np.zeros(0, np.uint64)), False)
+    w = _Windows(texts, labels)
+    if w.toxic.all() or not w.toxic.any():
+        return _constant(Network(w.known, w.grams), bool(w.toxic.any()))
+    place = np.zeros(len(texts), np.int64)
+    for value in (0, 1):
+        place[labels == value] = np.arange(int((labels == value).sum()))
+    check = place % FOLD == FOLD - 1
+    sides = lambda use: [len(np.unique(w.text[use[w.text] & (w.toxic == y)])) for y in (False, True)]
+    if min(sides(check)) < 2 or min(sides(~check)) < 1:
+        check = np.ones(len(texts), bool)
+    use = np.ones(len(texts), bool) if check.all() else ~check
+    best, rows = None, np.flatnonzero(check[w.text])
+    for seed in seeds:
+        net = _trained(w, use, seed, first_steps, rounds, round_steps, batch)
+        text, top = _tops(w.text[rows], net.logits(net.table(net.vectors(w.whole)), w.at[rows]))
+        value, net.threshold = _judged(top, labels[text] == 1)
+        if best is None or value > best[0]:
+            best = value, net
+    return best[1]
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, every: int) -> DataFrame:
-    """Labelled texts (__h, text, label) for training: rows that are not held out, for each label at most ``SAMPLE`` of them, first
-    by a hash of their key; of a text over ``SAMPLE_CHARS`` characters a stretch of that many, its place by that hash."""
+    """Labelled whole texts (__h, text, label) for training: rows that are not held out, for each label at most ``SAMPLE`` of them,
+    first by a hash of their key. Of several labels of a key the greatest counts; of several rows the text with the least hash."""
     y = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__y")).where("__y in (0, 1)")
     y = y.where(~held_out("__key", every)).groupBy("__key").agg(F.max("__y").alias("__y")).withColumn("__h", F.xxhash64("__key"))
     some = None
     for value, most in SAMPLE.items():
         part = y.where(F.col("__y") == value).orderBy("__h", "__key").limit(most)
         some = part if some is None else some.union(part)
-    body, size = F.coalesce(F.col(text), F.lit("")), F.length(F.col("__text"))
-    rows = docs.select(F.col(key).alias("__key"), body.alias("__text")).join(F.broadcast(some), "__key")
-    begin = F.when(size > SAMPLE_CHARS, F.pmod(F.col("__h"), size - SAMPLE_CHARS)).otherwise(0).cast("int") + 1
-    rows = rows.select("__h", "__key", "__y", F.substring(F.col("__text"), begin, F.lit(SAMPLE_CHARS)).alias("__text"))
-    return rows.dropDuplicates(["__key"]).select("__h", F.col("__text").alias("text"), F.col("__y").alias("label"))
+    rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(some), "__key")
+    # the least text by hash, then by itself: no order of rows or partitions has a say
+    rows = rows.groupBy("__key", "__h", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("x"), F.col("__text").alias("t"))).alias("__least"))
+    return rows.select("__h", F.col("__least.t").alias("text"), F.col("__y").alias("label"))
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted(((h, y, t) for b in batches for h, t, y in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True)), key=lambda r: r[:2])
     net = fit([t for _, _, t in rows], np.array([y for _, y, _ in rows], np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.words.known, net.grams.known, net.p))])], ["net"])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.words.known, net.grams.known, net.p, net.threshold))])], ["net"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", every: int = 5) -> Network:
@@ -321,9 +394,9 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     made = rows.mapInArrow(_trainer, "net binary").collect()
     if not made:
         return fit([], np.zeros(0, np.int64))
-    words, grams, p = pickle.loads(made[0][0])
+    words, grams, p, threshold = pickle.loads(made[0][0])
     net = Network(words, grams)
-    net.p = p
+    net.p, net.threshold = p, threshold
     return net
 
 

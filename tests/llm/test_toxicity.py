@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -45,6 +46,61 @@ def test_gradients_equal_differences():
             assert g[name][i] == pytest.approx((up - down) / (2 * e), abs=1e-7), name
 
 
+def plain_score(net, text):
+    """One text, word by word and state by state."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    words, p, h = text.lower().split(), {k: v.astype(float) for k, v in net.p.items()}, T.STATES
+
+    def vector(word):
+        (code,) = split([word]).hashes().tolist()
+        own = {int(k): i + 1 for i, k in enumerate(net.words.known)}.get(code, 0)
+        marked, grams = b"\x02" + word + b"\x03", []
+        for n in T.GRAMS:
+            for i in range(len(marked) - n + 1):
+                code = int.from_bytes(bytes([n]) + marked[i : i + n], "big") & 0xFFFFFFFFFFFFFFFF
+                grams.append({int(k): j + 1 for j, k in enumerate(net.grams.known)}.get(code, 0))
+        grams = [g for g in grams if g]
+        chars = sum((p["char"][g] for g in grams), np.zeros(T.CHAR_DIM)) / math.sqrt(max(1, len(grams)))
+        return np.concatenate([p["word"][own], chars])
+
+    def states(vectors, side):
+        state, out = [0.0] * h, []
+        for v in vectors:
+            g, own = v @ p[f"in_{side}"] + p[f"bias_{side}"], np.array(state) @ p[f"state_{side}"]
+            z = [sig(g[i] + own[i]) for i in range(h)]
+            r = [sig(g[h + i] + own[h + i]) for i in range(h)]
+            new = [math.tanh(g[2 * h + i] + r[i] * own[2 * h + i]) for i in range(h)]
+            state = [z[i] * state[i] + (1 - z[i]) * new[i] for i in range(h)]
+            out.append(state)
+        return out
+
+    starts = range(0, max(1, len(words) - T.WINDOW + T.STRIDE), T.STRIDE) if words else []
+    best = -math.inf
+    for at in starts:
+        part = [vector(w) for w in words[at : at + T.WINDOW]]
+        part += [np.zeros(T.WORD_DIM + T.CHAR_DIM)] * (T.WINDOW - len(part))
+        n = min(T.WINDOW, len(words) - at)
+        both = [np.array(a + b) for a, b in zip(states(part, "f"), states(part[::-1], "b")[::-1])]
+        weight = [math.exp(np.tanh(s @ p["attend"] + p["attend_bias"]) @ p["query"]) for s in both[:n]]
+        pool = sum(w * s for w, s in zip(weight, both)) / sum(weight)
+        best = max(best, float(pool @ p["out"] + p["bias"][0]))
+    return sig(best - net.threshold) if words else 0.0
+
+
+def test_scores_equal_plain_loops():
+    net = T.fit(*corpus(60, 4), seeds=(3,), first_steps=30, rounds=1, round_steps=10)
+    texts = corpus(12, 5)[0] + [b"", b" ", b"one", b"vilescum " * 13, "ünder ñ vilerot".encode()]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_whole_texts_are_learned():
+    texts, labels = corpus(90, 6)
+    filler = b" ".join(c.encode() for c in CLEAN * 30)
+    texts = [filler + b" " + t for t in texts]  # what is toxic stands after 9,000 characters
+    net = T.fit(texts, labels, seeds=(7,))
+    assert (net.scores([filler, filler + b" vilescum grobnik vilerot"]) >= 0.5).tolist() == [False, True]
+
+
 def test_windows_cover_every_word():
     for n in range(0, 60):
         text, start = T.windows(np.array([0, n]))
