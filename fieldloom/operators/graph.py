@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut, iterate
+from ..plans.fixpoint import cut, iterate, state_of
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -32,8 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for each node of ``links``: the least node that links reach, by alternating large and small stars."""
     start = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
     alone = start.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
-    measure = lambda s: s.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    stars = iterate(start.where("a <> b").distinct(), lambda s: _star(_star(s, True), False), measure)
+    stars = iterate(start.where("a <> b").distinct(), lambda s: _star(_star(s, True), False), lambda s: state_of(s, "a", "b"))
     found = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     found = found.union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     return found.union(alone.join(found.select("node"), "node", "left_anti"))
@@ -43,7 +42,7 @@ def constraint_components(inc: DataFrame) -> DataFrame:
     """(coni, component): constraints that share signals, over any number of steps; named by the least constraint."""
     ties = inc.select((F.col("coni") * 2).alias("a"), (F.col("signal") * 2 + 1).alias("b"))
     found = components(ties, "a", "b")
-    own = found.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("coni"), "component")
+    own = found.where("node % 2 = 0").select(F.shiftright("node", 1).alias("coni"), "component")
     least = own.groupBy("component").agg(F.min("coni").alias("least"))
     return own.join(least, "component").select("coni", F.col("least").alias("component"))
 
@@ -68,7 +67,7 @@ def signal_distances(inc: DataFrame, sources: DataFrame) -> DataFrame:
     con, sig = (F.col("coni") * 2), (F.col("signal") * 2 + 1)
     edges = inc.select(con.alias("src"), sig.alias("dst")).union(inc.select(sig.alias("src"), con.alias("dst")))
     found = distances(edges, sources.select((F.col("signal") * 2 + 1).alias("node")))
-    return found.where("node % 2 = 1").select(F.floor(F.col("node") / 2).alias("signal"), F.floor(F.col("d") / 2).alias("d"))
+    return found.where("node % 2 = 1").select(F.shiftright("node", 1).alias("signal"), F.shiftright("d", 1).alias("d"))
 
 
 def between(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -211,7 +210,7 @@ def propagated_labels(edges: DataFrame, rounds: int = 20) -> DataFrame:
         sums = votes.groupBy("node", "label").agg(F.sum("weight").alias("w"))
         return sums.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label"))
 
-    return iterate(start, step, lambda s: s.agg(F.sum(F.xxhash64("node", "label") % 1_000_003)).first(), rounds)
+    return iterate(start, step, lambda s: state_of(s, "node", "label"), rounds)
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 1000, levels: int = 1000) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -10,10 +13,25 @@ from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names, or where none is set to one of this machine."""
+    """Checkpoints go to the folder that spark.checkpoint.dir names. Where none is set a folder of this machine stands in,
+    if all of Spark runs in this one process; on a cluster executors would not find it again, so that is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    sc.setCheckpointDir(folder)
+
+
+def state_of(df: DataFrame, *columns: str) -> tuple:
+    """A summary of all rows, whatever their order: two states of a loop are equal if theirs are, but for a chance of
+    2^-100 or so. Count, and two whole sums of independent 64-bit hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")) for salt in (1, 2)]
+    return tuple(df.agg(F.count("*"), *sums).first())
 
 
 def cut(df: DataFrame) -> DataFrame:
