@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows_a_batch, get_array, new_dir, put_array, written
+from .shared import small, get_array, new_dir, put_array, written
 from .words import mix, split, texts_of
 
 BEGIN, END = (np.uint64(x) for x in (0xB5297A4D3F84D5B5, 0x68E31DA4C2B2AE35))
@@ -130,7 +130,7 @@ def _counter(order: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, first, held = [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             t, f = tokens(texts_of(batch.column(0)))
             token, first, held = [*token, t], [*first, f], held + len(t)
             if held >= FLUSH:
@@ -267,7 +267,6 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, shards: int | Non
     if order < 1:
         raise ValueError("the order must be 1 at least")
     spark = docs.sparkSession
-    few_rows_a_batch(spark)
     bits = max(0, math.ceil(math.log2(shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     folder = new_dir(spark, "lm-arrays")
     packed = docs.select(text).mapInArrow(_counter(order, bits), _ROW)
@@ -303,10 +302,8 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     A null text is empty: it has its end alone. An empty table gives no rows; other columns are ignored.
     """
-    few_rows_a_batch(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             got = model.score(texts_of(batch.column(2)))
             n = pa.array(np.full(batch.num_rows, model.tokens, np.int64))
             cols = [pa.array(got[c]) for c in ("n_tokens", "n_known")] + [n] + [pa.array(got[c]) for c in ("base_score", "score")]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows_a_batch
+from .shared import small
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Rows that are packed together; a task packs one block after the other.
@@ -118,7 +118,6 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Colum
     shuffled; repeated rows and null keys are packed like others. An empty table gives no rows.
     """
     lengths = tuple(sorted(set(lengths)))
-    few_rows_a_batch(docs.sparkSession, 4096)
     rows = docs.select(F.col(key).alias("__key"), (n_tokens(F.col(text)) if size is None else size.cast("long")).alias("__size"))
     names = ["__key", "start", "n_tokens", "sequence", "sequence_length", "position"]
     kind = rows.schema[0].dataType.simpleString()

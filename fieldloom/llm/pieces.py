@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows_a_batch
+from .shared import small
 from .words import Index, texts_of
 
 _UNIT = re.compile(rb" *[^ ]+| +")
@@ -163,11 +163,9 @@ def _parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
 def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pieces) for each row of ``docs``: the ids of its text. A null text is empty and has no pieces; a
     null key is passed on; an empty table gives no rows; other columns are ignored."""
-    few_rows_a_batch(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             ids = [x for part in _parts(texts_of(batch.column(1))) for x in codec.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["__key", "pieces"])
 
@@ -177,11 +175,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text:
 
 def decoded(pieces: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "pieces") -> DataFrame:
     """(key, text) for each row of ``pieces``; null ids give an empty text."""
-    few_rows_a_batch(pieces.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             texts = [codec.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__key", "text"])
 
@@ -195,12 +191,11 @@ def round_trips(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
     pieces_crc32: of the ids as 32-bit little-endian integers; exact: decoding gives the text's bytes. Nulls as
     in ``encoded``.
     """
-    few_rows_a_batch(docs.sparkSession)
     names = ["__key", "n_pieces", "pieces_crc32", "n_bytes", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
-        for batch in batches:
+        for batch in small(batches):
             texts, n, crc, exact = texts_of(batch.column(1)), [], [], []
             for part in _parts(texts):
                 for t, ids in zip(part, codec.encode(part), strict=True):

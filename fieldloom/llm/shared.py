@@ -1,7 +1,7 @@
-"""Where intermediate tables go.
+"""Where intermediate tables go, and how texts reach Python.
 
-On a cluster every executor reaches the folder that ``spark.checkpoint.dir`` names; only where
-that is unset (tests, a single machine) a folder of this machine stands in for it.
+On a cluster every executor reaches the folder that ``spark.checkpoint.dir`` names. Only where that is unset and
+all runs on one machine (tests) a folder of this machine stands in for it; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -9,22 +9,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.fixpoint import cut, ready
+
+__all__ = ["cut", "get_array", "new_dir", "put_array", "shared_dir", "small", "written"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The URI of the folder that the driver and all executors share."""
-    sc = spark.sparkContext
-    if set_for_all := spark.conf.get("spark.checkpoint.dir", None):
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(set_for_all)
-        return set_for_all.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fieldloom-"))
-    return sc.getCheckpointDir().rstrip("/")
+    ready(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
@@ -39,17 +40,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, once a checkpoint folder is known."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def few_rows_a_batch(spark: SparkSession, rows: int = 512) -> None:
-    """Texts go to Python in batches of at most ``rows``, so that a batch of long ones fits a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows``, so that what Python makes of long texts fits a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def put_array(folder: str, name: str, data: np.ndarray) -> None:
@@ -71,18 +66,36 @@ def put_array(folder: str, name: str, data: np.ndarray) -> None:
         store.move(half, f"{path}/{name}")
 
 
-_OPEN: dict[str, np.ndarray] = {}
+#: Arrays that a worker holds open, the last used at the end.
+_OPEN: OrderedDict[str, np.ndarray] = OrderedDict()
+_MOST_OPEN = 2048
+
+
+def _fetched(folder: str, name: str) -> str:
+    """A copy, on this machine's disk, of a file that is in a store; one for all workers of an executor."""
+    from pyarrow import fs
+
+    at = os.path.join(tempfile.gettempdir(), f"fieldloom-{os.path.basename(folder.rstrip('/'))}", name)
+    if not os.path.exists(at):
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        store, path = fs.FileSystem.from_uri(folder)
+        half = f"{at}.{uuid.uuid4().hex}"
+        with store.open_input_stream(f"{path}/{name}") as found, open(half, "wb") as out:
+            while block := found.read(1 << 22):
+                out.write(block)
+        os.replace(half, at)
+    return at
 
 
 def get_array(folder: str, name: str, kind: type) -> np.ndarray:
-    """A file's array: mapped where the shared folder is a path, else read through its store."""
-    if (at := f"{folder}/{name}") not in _OPEN:
-        place = urlparse(folder)
-        if place.scheme in ("", "file"):
-            _OPEN[at] = np.memmap(f"{place.path}/{name}", kind, "r")
-        else:
-            from pyarrow import fs
-
-            store, path = fs.FileSystem.from_uri(folder)
-            _OPEN[at] = np.frombuffer(store.open_input_stream(f"{path}/{name}").read(), kind)
+    """A file's array, mapped into memory: in place where the shared folder is a path, else from a copy on local disk."""
+    at = f"{folder}/{name}"
+    if at in _OPEN:
+        _OPEN.move_to_end(at)
+        return _OPEN[at]
+    place = urlparse(folder)
+    path = f"{place.path}/{name}" if place.scheme in ("", "file") else _fetched(folder, name)
+    _OPEN[at] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    if len(_OPEN) > _MOST_OPEN:
+        _OPEN.popitem(last=False)
     return _OPEN[at]

@@ -15,47 +15,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import few_rows_a_batch, written
+from ..operators.graph import components
+from .shared import small, written
+from .similar import components_of, hashed_shingles, simhash, with_sketches
 from .words import texts_of
 
-SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
-#: Comparisons in one bucket that one group of rows may take; a larger bucket is dealt out in blocks.
+#: Rows of each side of a bucket that one group may hold, about; a larger bucket is dealt out in blocks.
 BLOCK = 2048
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """SimHash of a text's word shingles; 0 if it has no word."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(length + 1) - 1
-        start = end - length
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        block = np.array(hashes[at : at + 65536], np.uint64)
-        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    return simhash(hashed_shingles(text, shingle))
 
 
 def with_fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed 64-bit integer."""
-    few_rows_a_batch(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = np.array([fingerprint(x, shingle) for x in texts_of(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["__key", "__fp"])
 
@@ -153,19 +135,21 @@ def _linker(bits: int):
                     yield p, q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[list[np.ndarray]] = []  # parts of the last group, joined once it is whole
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if not len(cols[0]):
                 continue
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             end = int(np.searchsorted(cols[0], cols[0][-1]))
-            rest = [x[end:] for x in cols]
+            if held and cols[0][0] != held[-1][0][0]:
+                yield made(within(*map(np.concatenate, zip(*held, strict=True))))
+                held = []
             if end:
-                yield made(within(*(x[:end] for x in cols)))
-        if rest is not None:
-            yield made(within(*rest))
+                yield made(within(*map(np.concatenate, zip(*held, [x[:end] for x in cols], strict=True))))
+                held = []
+            held.append([x[end:] for x in cols])
+        if held:
+            yield made(within(*map(np.concatenate, zip(*held, strict=True))))
 
     def made(links: Iterator[tuple[int, int]]) -> pa.RecordBatch:
         found = np.array(list(links), np.int64).reshape(-1, 2)
@@ -181,7 +165,7 @@ def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
         raise ValueError("the keys hold for 3 differing bits at most")
     keys = written(nodes.select("fp", "node").mapInArrow(_keys, "key long, side byte, fp long, node long"), "simhash-keys")
     sides = keys.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).where("l > 0 and r > 0")
-    large = written(sides.where(f"l * r > {BLOCK * BLOCK}"), "simhash-large")
+    large = written(sides.where(f"l * r > {BLOCK * BLOCK} or l + r > {4 * BLOCK}"), "simhash-large")
     if large.isEmpty():
         rows = keys.withColumn("group", F.col("key"))
     else:
@@ -214,14 +198,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return out.select(F.col("__key").alias(key), hexed.alias("fingerprint"), F.when(F.col("__key").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each component, the one with the smallest key.
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each group that links reach, the one with the smallest key.
 
-    Of several rows with that key, one stays. Rows with a null key stay.
+    Texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``least`` or more. Texts whose fingerprints
+    meet on a Golay key within 3 bits, and those that share a band of least hashes, are compared. Texts null or without a word link
+    with each other. Rows of one key are one document; of several such rows the one whose text has the least CRC-32 stays, equal
+    ones in any order. Rows with a null key stay. An empty table gives no rows.
     """
-    groups = near_duplicates(docs, key, text, bits, shingle)
-    kept = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
+    rows = written(with_sketches(docs, key, text, shingle), "simhash-sketches")
+    sets = written(rows.groupBy("node").agg(F.min("__key").alias("lead"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands")), "simhash-sets")
+    print_of = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = sets.select("fp", "node").join(print_of.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    tied = components_of(rows, sets, docs, key, text, shingle, least, links(print_of).unionByName(equal))
+    part = sets.join(tied, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("lead").alias("__kept"))
     whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
-    rows = whole.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
-    one = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))).where("__turn = 1")
+    left = whole.join(part.select("__kept").distinct(), F.col("__key") == F.col("__kept"), "left_semi")
+    one = left.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))).where("__turn = 1")
     return one.select("row").union(whole.where("__key is null").select("row")).select("row.*")
+

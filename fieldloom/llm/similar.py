@@ -1,8 +1,9 @@
-"""Near duplicates by similarity: MinHash finds pairs, their sets of shingles are compared whole.
+"""Sets of word shingles: which texts may be similar, and which are.
 
-Texts link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. 80 least hashes in 20 bands of 4
-give candidates: a pair of similarity 0.8 shares no band with a chance of (1 - 0.8^4)^20 = 2.7e-5, more similar ones with less.
-Every candidate is verified on the hashed sets, none is left out.
+Fingerprints of texts whose sets have a Jaccard similarity of 0.8 differ in 10 of 64 bits on average, so Golay keys
+alone meet about a quarter of such pairs (half at 0.9). Bands of least hashes find the others: a pair of
+similarity 0.8 shares none of 20 bands of 4 with a chance of (1 - 0.8^4)^20 = 2.7e-5, more similar ones with less.
+Every candidate is verified on the hashed sets of whole texts; none is left out.
 """
 
 from __future__ import annotations
@@ -12,27 +13,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import few_rows_a_batch, written
+from ..operators.graph import components
+from .shared import small, written
 from .words import texts_of
 
 SEED = 42
-SHINGLE = 5
-LEAST = 0.8
 BANDS, ROWS = 20, 4
+#: Pairs of one text that one task verifies.
+TOGETHER = 256
 _random = np.random.default_rng(SEED)
 TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; the whole of a shorter text is one, no word gives none."""
+def hashed_shingles(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, in order, repeats included; the whole of a shorter text is one, no word gives none."""
     words = text.lower().split()
-    joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], np.uint64))
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(length + 1) - 1
+    start = end - length
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start[: 1 - shingle].tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        block = np.ascontiguousarray(hashes[at : at + 65536])
+        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -47,64 +63,104 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(rows)]
 
 
-def with_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(__key, same, hashes, bands): ``same`` is one number for equal sets."""
-    few_rows_a_batch(docs.sparkSession)
+def name_of(members: np.ndarray) -> int:
+    """One number for equal sets: the node that stands for them."""
+    return xxhash.xxh64_intdigest(members.tobytes(), SEED) - (1 << 63)
+
+
+def with_sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(__key, node, fp, bands) of each row with a key: the name of its set of shingles, fingerprint and keys of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x) for x in texts_of(batch.column(1))]
-            same = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
-            lists = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), *lists], ["__key", "same", "hashes", "bands"])
+        for batch in small(batches):
+            node, fp, bands = [], [], []
+            for t in texts_of(batch.column(1)):
+                hashes = hashed_shingles(t, shingle)
+                members = np.unique(hashes)
+                node.append(name_of(members))
+                fp.append(simhash(hashes))
+                bands.append(band_keys(members))
+            cols = [pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["__key", "node", "fp", "bands"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    return rows.mapInArrow(run, f"__key {rows.schema[0].dataType.simpleString()}, node long, fp long, bands array<long>")
+
 
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null")
-    return rows.mapInArrow(run, f"__key {rows.schema[0].dataType.simpleString()}, same long, hashes array<long>, bands array<long>")
+def with_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, hashes): the sets of texts, sorted as unsigned numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = [np.unique(hashed_shingles(t, shingle)) for t in texts_of(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return docs.select(text).mapInArrow(run, "node long, hashes array<long>")
+
+
+def _comparer(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            x, y = (batch.column(i) for i in (2, 3))
+            fits = []
+            for i in range(batch.num_rows):
+                n, m = len(p := x[i].values.to_numpy().view(np.uint64)), len(q := y[i].values.to_numpy().view(np.uint64))
+                both = 0
+                if min(n, m) >= least * max(n, m):
+                    both = int((q[np.minimum(np.searchsorted(q, p), m - 1)] == p).sum()) if m else 0
+                fits.append(both >= least * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    fits = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
-    both = pairs.join(left, "a").join(right, "b").where(fits).withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    return run
 
 
-def links(docs: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """Links (a, b) of keys that tie all similar documents, over as many steps as their groups need.
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of nodes whose sets are similar enough, as a written table.
 
-    Documents of equal sets and rows of equal keys are tied first. Then members of a band's bucket meet its least one, and
-    last each other where those links have not joined them yet.
+    sets: (node, lead), lead a key of the node's texts. Only texts that a pair names are read again, one for each node. A node of
+    many pairs is dealt to several tasks, with a copy of its set for each.
     """
-    rows = written(with_sets(docs, key, text), "minhash-rows")
-    # a key with several texts has several sets: a node is a set, named by its own number
-    equal = rows.select(F.col("__key").cast("long").alias("key"), "same")
-    sets = written(rows.groupBy(F.col("same").alias("node")).agg(F.first("hashes").alias("hashes"), F.first("bands").alias("bands")), "minhash-sets")
-    buckets = written(sets.select("node", F.explode("bands").alias("band")), "minhash-bands")
-    first = buckets.groupBy("band").agg(F.min("node").alias("a"))
-    stars = buckets.join(first, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = written(_verified(stars, sets, least), "minhash-stars")
-    tied = components(stars, "a", "b")
-    part = buckets.join(tied, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
+    pairs = written(pairs, "similar-pairs")
+    load = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("pairs"))
+    named = load.select("node").union(pairs.select(F.col("b").alias("node"))).distinct()
+    # a key may have several texts, those of other nodes are dropped by name
+    lead = sets.join(named, "node", "left_semi").select(F.col("lead").alias("__lead")).distinct()
+    chosen = docs.join(lead, F.col(key) == F.col("__lead"), "left_semi")
+    found = written(with_sets(chosen, text, shingle).join(named, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    tasks = (F.ceil(F.col("pairs") / TOGETHER)).cast("int")
+    left = found.join(load, "node").select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"))
+    dealt = pairs.join(load.select(F.col("node").alias("a"), tasks.alias("tasks")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part"))
+    both = dealt.join(found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
+    return written(both.mapInArrow(_comparer(least), "a long, b long"), "similar-links")
+
+
+def banded_pairs(sets: DataFrame) -> DataFrame:
+    """(band, node) of the buckets that several nodes share; sets: (node, bands)."""
+    buckets = sets.select("node", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
+    return written(buckets.join(shared, "band"), "similar-buckets")
+
+
+def open_pairs(buckets: DataFrame, tied: DataFrame) -> DataFrame:
+    """(a, b) of nodes that share a bucket and are in different components so far; tied: (node, component)."""
+    part = buckets.select("band", "node").join(tied, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
     mixed = part.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
-    open_ = written(part.join(mixed, "band"), "minhash-open")
-    mate = open_.select("band", F.col("node").alias("b"), F.col("part").alias("other"))
-    rest = open_.withColumnRenamed("node", "a").join(mate, "band").where("a < b and part <> other").select("a", "b").distinct()
-    found = stars.union(_verified(rest, sets, least))
-    # back to keys: the least key of a set stands for it
-    lead = equal.groupBy("same").agg(F.min("key").alias("lead"))
-    ends = found.join(lead.select(F.col("same").alias("a"), F.col("lead").alias("p")), "a").join(lead.select(F.col("same").alias("b"), F.col("lead").alias("q")), "b")
-    return ends.select(F.col("p").alias("a"), F.col("q").alias("b")).union(equal.join(lead, "same").select(F.col("key").alias("a"), F.col("lead").alias("b")))
+    left = written(part.join(mixed, "band", "left_semi"), "similar-open")
+    mate = left.select("band", F.col("node").alias("b"), F.col("part").alias("other"))
+    return left.withColumnRenamed("node", "a").join(mate, "band").where("a < b and part <> other").select("a", "b").distinct()
 
 
-def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each group that links reach the one with the smallest key.
+def components_of(rows: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, least: float, near: DataFrame) -> DataFrame:
+    """(node, component): sets that links of similarity ``least`` or more reach; nodes without a link are absent.
 
-    Of several rows with that key, one stays. Rows with a null key stay. Texts null or without a word link with each other.
+    rows: (__key, node); sets: (node, lead, bands). near: pairs (a, b) to be tried besides those that share a band. Members of a
+    bucket meet its least one first; then members of different components meet each other. Sets of one key are tied.
     """
-    tied = components(links(docs, key, text, least), "a", "b")
-    gone = tied.where("node <> component").select(F.col("node").alias("__gone"))
-    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
-    rows = whole.where("__key is not null").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
-    one = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("__crc"))).where("__turn = 1")
-    return one.select("row").union(whole.where("__key is null").select("row")).select("row.*")
+    buckets = banded_pairs(sets)
+    stars = buckets.where("a <> node").select("a", F.col("node").alias("b")).union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    check = lambda pairs: verified(pairs, sets, docs, key, text, shingle, least)
+    own = rows.groupBy("__key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("__key", "a")
+    same = rows.select("__key", "node").distinct().join(own, "__key").where("node <> a").select("a", F.col("node").alias("b"))
+    links = written(check(stars).union(same), "similar-first")
+    rest = check(open_pairs(buckets, components(links, "a", "b")))
+    return components(links.union(rest), "a", "b")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .knlm import held_out
-from .shared import few_rows_a_batch
+from .shared import small
 from .words import Index, Words, split, texts_of
 
 WINDOW, STRIDE = 12, 8
@@ -389,7 +389,6 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", every: int = 5) -> Network:
     """A network from the labelled rows that are not held out. One task, on the bounded sample, trains it."""
-    few_rows_a_batch(docs.sparkSession)
     rows = sample(docs, labels, key, text, label, every).repartition(1)
     made = rows.mapInArrow(_trainer, "net binary").collect()
     if not made:
@@ -402,7 +401,7 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def _scorer(net: Network, column: int, names: list[str], keep_below: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, scores = texts_of(batch.column(column)), []
             part, size = [], 0
             for t in texts:
@@ -428,7 +427,6 @@ def scored(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
     A text that is null, empty or without a word scores 0. A null key is passed on and counts as held out. An
     empty table gives no rows; other columns are ignored.
     """
-    few_rows_a_batch(docs.sparkSession)
     rows = docs.select(F.col(key).alias("__key"), held_out(key, every).alias("held_out"), F.col(text).alias("__text"))
     names = ["__key", "held_out", "score", "predicted"]
     out = rows.mapInArrow(_scorer(net, 2, names, None), f"__key {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -437,5 +435,4 @@ def scored(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
 
 def clean_documents(docs: DataFrame, net: Network, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score under ``threshold``."""
-    few_rows_a_batch(docs.sparkSession)
     return docs.mapInArrow(_scorer(net, docs.columns.index(text), [], threshold), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows_a_batch
+from .shared import small
 from .words import texts_of
 
 _NONE = -1
@@ -107,12 +107,10 @@ def token_counts(docs: DataFrame, first: list[str], inner: list[str], key: str =
     Words are runs of other than ASCII spaces. A word that can't be cut into pieces is one unknown token. A null
     text is empty and has none; a null key is passed on; an empty table gives no rows; other columns are ignored.
     """
-    few_rows_a_batch(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(Automaton(first, inner))
         get = memory.__getitem__
-        for batch in batches:
+        for batch in small(batches):
             words, sums = [], []
             for t in texts_of(batch.column(1)):
                 found = t.split()

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from fieldloom.llm import minhash
+from fieldloom.llm import simhash
 
 
 def plain(text):
@@ -44,4 +44,4 @@ def test_stage_drops_edited_copies(spark):
     got = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert got.count(None) == 1
     assert sorted(i for i in got if i is not None) == sorted({top(i) for i in up})
-    assert minhash.without_near_duplicates(docs.limit(0)).collect() == []
+    assert simhash.without_near_duplicates(docs.limit(0)).collect() == []
