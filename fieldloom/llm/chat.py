@@ -90,7 +90,12 @@ def read_back(formatted: Column) -> Column:
 
 
 def chats(messages: DataFrame, tree: str, node: str, parent: str, role: str, text: str, score: str | None = None, best: int | None = None) -> DataFrame:
-    """(tree, leaf, rank, formatted, spans): one conversation for each chosen path of each reply tree."""
+    """(tree, leaf, rank, formatted, spans): one conversation for each chosen path of each reply tree.
+
+    rank: the branch's place among those of its tree, from 1, by ``score``; 1 for all where ``best`` is None. Null roles and
+    texts are empty; a very long text is one turn like any other; an empty table gives no rows; other columns are ignored.
+    Null, missing and circular parents, ties and null scores: as in ``paths``.
+    """
     chosen = paths(messages, tree, node, parent, score, best)
     said = messages.select(F.col(tree).alias("__tree"), F.col(node).alias("__node"), F.col(role).alias("__role"), F.col(text).alias("__text"))
     turns = chosen.join(said, ["__tree", "__node"]).withColumn("__down", -F.col("__up"))
@@ -98,13 +103,13 @@ def chats(messages: DataFrame, tree: str, node: str, parent: str, role: str, tex
     return out.select(F.col("__tree").alias(tree), F.col("__leaf").alias("leaf"), F.col("__rank").alias("rank"), "formatted", "spans")
 
 
-def replies(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of turns as reply trees: each row answers the one before it.
+def replies(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", score: str | None = None) -> DataFrame:
+    """A table of turns as reply trees: each row answers the one before it; ``score`` is carried on, if named.
 
     Turns that tie, and repeated rows, follow in order of role and text; a null turn comes first; rows without a
     conversation are one. The column ``tree`` holds the conversation as ``tree.id``.
     """
     order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first())
     at = F.row_number().over(order)
-    rows = conversations.select(F.struct(F.col(conv).alias("id")).alias("tree"), role, text, at.cast("long").alias("node"))
+    rows = conversations.select(F.struct(F.col(conv).alias("id")).alias("tree"), role, text, at.cast("long").alias("node"), *([F.col(score)] if score else []))
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))

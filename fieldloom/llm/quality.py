@@ -1,7 +1,8 @@
 """Quality rules for documents, in DataFrame functions alone.
 
 The base rules look at one text. The cross-document rule hashes each normalised line, counts the distinct texts
-of its host that hold it, removes lines above a limit, and rejects documents that lose most of their words.
+of its host that hold it, removes lines above a limit, and rejects documents that lose most of their words. Texts are
+parsed once; what they leave is written, and all that follows works on hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+#: Verdicts that are broadcast, at most (of some 100 bytes each, and lists of a text's own lines); copies of more of them.
+FEW, PARTS = 50_000, 16
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -71,44 +74,86 @@ def base_rules(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("__base_failed", (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words")))
 
 
+def normal_line(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(line), _SPACE, " "))
+
+
 def _keys(text: str, host: str) -> dict[str, Column]:
     return {"__host": F.xxhash64(host), "__text": F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 15), 16, 10).cast("long")}
 
 
-def depleted(docs: DataFrame, text: str, host: str, max_texts: int, min_left: float) -> DataFrame:
-    """(__host, __text) of the texts that keep under ``min_left`` of the words in their distinct lines.
+def _lines(text: str) -> Column:
+    """Distinct normalised lines of a text: (hash, words)."""
+    words = lambda x: F.size(F.split(F.trim(F.translate(x, SPACES, " " * 6)), " +"))
+    return F.transform(F.array_distinct(F.transform(lines_of(F.col(text)), normal_line)), lambda x: F.struct(F.xxhash64(x).alias("line"), words(x).alias("n")))
+
+
+def _spread(rows: DataFrame, verdicts: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined to ``verdicts``, of which each key has one row at most. A key may hold any share of ``rows``: a
+    few verdicts are broadcast once they are counted, more of them are dealt out in ``PARTS`` copies."""
+    if verdicts.count() <= FEW:
+        return rows.join(F.broadcast(verdicts), on, how)
+    dealt = verdicts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    mine = rows.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    return mine.join(dealt, [*on, "__part"], how).drop("__part")
 
-    Copies of a text count once, and the text whose hash is smallest among a line's holders keeps the line: of
-    many near copies one stays whole.
+
+def line_losses(texts: DataFrame, least_texts: int, share: float, min_left: float, min_words: int) -> DataFrame:
+    """(__host, __text, __gone, __lost, __depleted) of the texts that lose a line; texts: (__host, __text, __lines), one row each.
+
+    A line goes if over ``least_texts`` texts of its host, and over ``share`` of them, hold it; the text whose hash is smallest
+    keeps it. __gone: hashes of the lines; __lost: their words.
     """
-    normal = F.transform(lines_of(F.col(text)), lambda x: F.lower(F.regexp_replace(F.trim(x), _SPACE, " ")))
-    line = F.explode(F.array_distinct(normal))
-    lines = docs.select(*(c.alias(k) for k, c in _keys(text, host).items()), line.alias("line"))
-    lines = lines.select("__host", "__text", F.xxhash64("line").alias("__line"), F.size(F.split(F.trim(F.translate("line", SPACES, " " * 6)), " +")).alias("__n"))
-    held = written(lines.groupBy("__host", "__line", "__text").agg(F.max("__n").alias("__n")), "quality-lines")
-    common = held.groupBy("__host", "__line").agg(F.count("*").alias("__texts"), F.min("__text").alias("__owner")).where(F.col("__texts") > max_texts)
-    lost = held.join(common, ["__host", "__line"]).where("__text <> __owner").groupBy("__host", "__text").agg(F.sum("__n").alias("__lost"))
-    total = held.groupBy("__host", "__text").agg(F.sum("__n").alias("__total"))
-    return total.join(lost, ["__host", "__text"]).where(F.col("__lost") > (1 - min_left) * F.col("__total")).select("__host", "__text")
-
-
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_texts: int = 100, min_left: float = 0.3) -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row of ``docs``.
-
-    A line is removed if over ``max_texts`` distinct texts of its host hold it; a document is depleted if it
-    keeps under ``min_left`` of its words. Equal rows share a verdict. A null text is empty, so it fails the
-    base rules; null hosts are one host; a null key is passed on; other columns are ignored.
+    held = texts.select("__host", "__text", F.explode("__lines").alias("l")).select("__host", "__text", F.col("l.line").alias("__line"), F.col("l.n").alias("__n"))
+    counts = held.groupBy("__host", "__line").agg(F.count("*").alias("__texts"), F.min("__text").alias("__owner")).where(F.col("__texts") > least_texts)
+    hosts = texts.groupBy("__host").agg(F.count("*").alias("__all"))
+    common = written(counts.join(hosts, "__host").where(F.col("__texts") > F.lit(share) * F.col("__all")).select("__host", "__line", "__owner"), "quality-common")
+    lost = _spread(held, common, ["__host", "__line"], "inner").where("__text <> __owner")
+    lost = lost.groupBy("__host", "__text").agg(F.collect_set("__line").alias("__gone"), F.sum("__n").alias("__lost"))
+    total = texts.select("__host", "__text", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("__total"))
+    left = F.col("__total") - F.col("__lost")
+    return lost.join(total, ["__host", "__text"]).select("__host", "__text", "__gone", "__lost", ((left < F.lit(min_left) * F.col("__total")) | (left < min_words)).alias("__depleted"))
+
+
+def _judged(docs: DataFrame, key: Column, text: str, host: str, least_texts: int, share: float, min_left: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, losses): each row's base rules and keys, from one reading of the texts, and ``line_losses`` of all texts."""
+    rows = base_rules(docs.select(key.alias("__key"), F.col(text).alias("__body"), F.col(host).alias("__from")), "__body")
+    rows = written(rows.withColumns(_keys("__body", "__from")).withColumn("__lines", _lines("__body")).drop("__body", "__from"), "quality-rows")
+    texts = written(rows.where(F.size("__lines") > 0).groupBy("__host", "__text").agg(F.any_value("__lines").alias("__lines")), "quality-texts")
+    return rows, written(line_losses(texts, least_texts, share, min_left, min_words), "quality-losses")
+
+
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least_texts: int = 5, share: float = 0.01, min_left: float = 0.3, min_words: int = 10) -> DataFrame:
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_lost, n_words_lost) for
+    each row of ``docs``.
+
+    Lines are compared trimmed, lower-cased, with single spaces; lines without a word don't count. A line is removed if over
+    ``least_texts`` distinct texts of its host, and over ``share`` of the host's distinct texts, hold it. This departs from
+    removing it everywhere: the holder whose hash is smallest keeps it, so that of a group of near copies one stays whole. A document
+    that loses a line is depleted if under ``min_left`` of the words of its distinct lines are left, or under ``min_words``
+    words. Equal rows share a verdict. A null text is empty, so it fails the base rules; null hosts are one host; a null key
+    is passed on; an empty table gives no rows; other columns are ignored.
     """
-    rows = base_rules(docs.select(F.col(key).alias("__key"), F.col(text).alias("__body"), F.col(host).alias("__from")), "__body")
-    rows = rows.withColumns(_keys("__body", "__from")).drop("__body", "__from")
-    gone = depleted(docs, text, host, max_texts, min_left).withColumn("__gone", F.lit(True))
-    out = rows.join(gone, ["__host", "__text"], "left")
+    rows, losses = _judged(docs, F.col(key), text, host, least_texts, share, min_left, min_words)
+    out = _spread(rows.drop("__lines"), losses.select("__host", "__text", F.size("__gone").cast("long").alias("__n_gone"), F.col("__lost").cast("long").alias("__lost"), "__depleted"), ["__host", "__text"], "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(F.col("__key").alias(key), *(F.col(f"__{n}").alias(n) for n in names), (~F.col("__base_failed") & F.col("__gone").isNull()).alias("kept"))
+    kept = ~F.col("__base_failed") & ~F.coalesce("__depleted", F.lit(False))
+    none = F.lit(0).cast("long")
+    return out.select(F.col("__key").alias(key), *(F.col(f"__{n}").alias(n) for n in names), kept.alias("kept"), F.coalesce("__n_gone", none).alias("n_lines_lost"), F.coalesce("__lost", none).alias("n_words_lost"))
 
 
-def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", max_texts: int = 100, min_left: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``quality`` keeps."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("__body"), F.col(host).alias("__from"))
-    good = base_rules(rows, "__body").where("not __base_failed").select("row", *(c.alias(k) for k, c in _keys("__body", "__from").items()))
-    return good.join(depleted(docs, text, host, max_texts, min_left), ["__host", "__text"], "left_anti").select("row.*")
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", least_texts: int = 5, share: float = 0.01, min_left: float = 0.3, min_words: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality`` keeps, without the lines that it removes.
+
+    A text that loses no line stays as it is, byte for byte; of others the lines left are joined again, those without a word
+    included. Null, empty and equal texts, null hosts, an empty table: as in ``quality``; no row is kept without a text.
+    """
+    rows, losses = _judged(docs, F.lit(None).cast("int"), text, host, least_texts, share, min_left, min_words)
+    failed = rows.where("__base_failed").select("__host", "__text").distinct().withColumn("__failed", F.lit(True))
+    verdicts = written(losses.select("__host", "__text", "__gone", "__depleted").join(failed, ["__host", "__text"], "full"), "quality-verdicts")
+    whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("__body"), F.col(host).alias("__from"))
+    whole = whole.select("row", "__body", *(c.alias(k) for k, c in _keys("__body", "__from").items()))
+    good = _spread(whole, verdicts, ["__host", "__text"], "left").where("not coalesce(__failed, false) and not coalesce(__depleted, false)")
+    left = F.filter(F.split("__body", "\n"), lambda x: (F.length(F.translate(x, SPACES, "")) == 0) | ~F.array_contains("__gone", F.xxhash64(normal_line(x))))
+    body = F.when(F.col("__gone").isNull(), F.col("__body")).otherwise(F.array_join(left, "\n"))
+    return good.select(*((body if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -60,7 +60,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
-    made = chat.chats(chat.replies(given.unionByName(more)), "tree", "node", "parent", "role", "text")
+    said = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("double")
+    messages = chat.replies(given.unionByName(more).withColumn("score", said), score="score")
+    made = chat.chats(messages, "tree", "node", "parent", "role", "text", score="score", best=1)
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.transform("spans", lambda s: chat.unescape(F.substring(F.col("formatted"), s["begin"] + 1, s["length"])))
     back = made.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", F.array_join(loss, ""))
@@ -133,15 +135,20 @@ WITH d AS (
     SELECT host, tid, lower(regexp_replace(trim(unnest(ls), ' '), '{_WS}', ' ', 'g')) AS l FROM base)
 ), sized AS (
   SELECT host, tid, l, len(list_filter(string_split(l, ' '), lambda x: x <> '')) AS n FROM line
+), hosts AS (
+  SELECT host, count(DISTINCT tid) AS n_texts FROM sized GROUP BY host
 ), common AS (
-  SELECT host, l, min(tid) AS owner FROM sized GROUP BY host, l HAVING count(*) > 100
+  SELECT host, l, min(tid) AS owner FROM sized JOIN hosts USING (host) GROUP BY host, l, n_texts HAVING count(*) > 5 AND count(*) > CAST(0.01 AS DOUBLE) * n_texts
+), lost AS (
+  SELECT host, tid, count(*) FILTER (owner <> tid) AS n_lines, coalesce(sum(n) FILTER (owner <> tid), 0) AS n_lost, sum(n) AS total
+  FROM sized LEFT JOIN common USING (host, l) GROUP BY host, tid
 ), gone AS (
-  SELECT host, tid FROM sized LEFT JOIN common USING (host, l) GROUP BY host, tid
-  HAVING coalesce(sum(CASE WHEN owner IS NOT NULL AND owner <> tid THEN n END), 0) > (1 - 0.3) * sum(n)
+  SELECT host, tid, n_lines, n_lost, total - n_lost < CAST(0.3 AS DOUBLE) * total OR total - n_lost < 10 AS depleted FROM lost WHERE n_lost > 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND gone.tid IS NULL AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce(depleted, false) AS kept,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines_lost, CAST(coalesce(n_lost, 0) AS BIGINT) AS n_words_lost
 FROM base LEFT JOIN gone USING (host, tid)
 """,
     "op10_chat": rf"""

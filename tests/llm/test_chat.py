@@ -72,4 +72,6 @@ def test_conversations(spark):
     assert turns == {1: [("user", "hi"), ("assistant", "<|end|>\\"), ("assistant", "")], 2: [("", "")], None: [("user", "q")], 3: [("a", "y"), ("a", "y"), ("b", "x")], 4: [("user", "z"), ("assistant", "é</s>")]}
     loss = {k: [f[s.begin : s.begin + s.length] for s in spans] for k, (_, f, spans) in got.items()}
     assert loss[1] == [escape("<|end|>\\"), ""] and loss[4] == [escape("é</s>")] and loss[2] == []
+    ranked = C.chats(C.replies(df.withColumn("score", F.length("text").cast("double")), score="score"), "tree", "node", "parent", "role", "text", score="score", best=1)
+    assert sorted((str(r.id), r.formatted, r["rank"]) for r in ranked.select("tree.id", "formatted", "rank").collect()) == sorted((str(k), v[1], 1) for k, v in got.items())
     assert C.chats(C.replies(df.limit(0)), "tree", "node", "parent", "role", "text").collect() == []

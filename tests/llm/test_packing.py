@@ -21,8 +21,45 @@ def test_packs_are_sound_and_cheap():
         assert sum(P.cost(n, 4096) for n in lengths) <= alone
 
 
+def least_cost(sizes, lengths):
+    """Over all ways to share sizes out to sequences."""
+    best = [float("inf")]
+
+    def place(i, fill):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(P.cost(min(x for x in lengths if x >= f), lengths[-1]) for f in fill))
+            return
+        for b in range(len(fill)):
+            if fill[b] + sizes[i] <= lengths[-1]:
+                place(i + 1, fill[:b] + [fill[b] + sizes[i]] + fill[b + 1 :])
+        place(i + 1, fill + [sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_costs_are_near_the_least():
+    r, lengths, ratio = random.Random(4), [8, 16, 32, 64], []
+    for _ in range(150):
+        sizes = [r.randint(1, r.choice([6, 20, 64])) for _ in range(r.randint(1, 8))]
+        got = sum(P.cost(n, 64) for n in P.pack(sizes, lengths)[1])
+        ratio.append(got / least_cost(sizes, lengths))
+    assert max(ratio) < 1.35 and sum(ratio) / len(ratio) < 1.03 and sum(x < 1 + 1e-9 for x in ratio) > 90
+
+
+def test_bin_sizes_are_chosen_by_cost():
+    lengths = [8, 16]
+    # a 7 fills a short sequence alone; a 5 waits for 11 others
+    assert P.cheapest_size(7, P._ToCome([]), lengths) == 8
+    assert P.cheapest_size(11, P._ToCome([5]), lengths) == 16
+    assert P.cheapest_size(5, P._ToCome([3]), lengths) == 8
+    assert P.cheapest_size(5, P._ToCome([5, 5, 1]), lengths) == 16  # 16 of 16 cost 20, 6 of 8 cost 9
+    bins, final = P.pack([7, 7, 11, 5, 5, 3], lengths)
+    assert sorted(final) == [8, 8, 8, 16]
+
+
 def test_best_fit_takes_the_tightest_bin():
-    bins, fill = P.best_fit([6, 5, 4, 3], {6: 10, 5: 10, 4: 10, 3: 10})
+    bins, fill = P.best_fit([6, 5, 4, 3], lambda s, rest: 10)
     assert bins == [0, 1, 0, 1] and fill == [10, 8]
 
 

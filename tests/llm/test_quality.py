@@ -35,7 +35,7 @@ def docs_of():
 def test_tables(spark):
     rows = docs_of()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string").repartition(3)
-    out = Q.quality(docs, max_texts=5, min_left=0.5).collect()
+    out = Q.quality(docs, least_texts=5, share=0.05, min_left=0.5).collect()
     assert len(out) == len(rows)
     norm = lambda x: re.sub("[ \t\n\x0b\f\r]+", " ", x.strip(" ")).lower()
     holders = defaultdict(set)
@@ -48,22 +48,43 @@ def test_tables(spark):
 
     tid = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
-    want = []
+    want, texts = [], []
     for i, t, h, _ in rows:
         t = t or ""
         base = plain(t)
         failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
         total = sum(len(x.split()) for x in lines[t])
-        lost = sum(len(x.split()) for x in lines[t] if len(holders[h, x]) > 5 and min(map(tid, holders[h, x])) != tid(t))
-        want.append((i, *base, failed, not failed and not lost > 0.5 * total))
+        n_texts = len(set().union(*(v for (g, _), v in holders.items() if g == h)))
+        gone = [x for x in lines[t] if len(holders[h, x]) > max(5, 0.05 * n_texts) and min(map(tid, holders[h, x])) != tid(t)]
+        lost = sum(len(x.split()) for x in gone)
+        depleted = lost > 0 and (total - lost < 0.5 * total or total - lost < 10)
+        want.append((i, *base, failed, not failed and not depleted, len(gone), lost))
+        if not failed and not depleted:
+            texts.append((i is None, i or 0, "\n".join(x for x in t.split("\n") if norm(x) not in gone)))
     assert sorted(map(key, map(tuple, out))) == sorted(map(key, want))
-    assert any(not w[-1] and not w[-2] for w in want)
-    left = Q.kept_documents(docs, max_texts=5, min_left=0.5)
+    assert any(not w[7] and not w[6] for w in want) and any(w[7] and w[8] for w in want)
+    left = Q.kept_documents(docs, least_texts=5, share=0.05, min_left=0.5)
     assert left.columns == docs.columns
-    assert sorted(key((r.doc_id,)) for r in left.collect()) == sorted(key((w[0],)) for w in want if w[-1])
+    assert sorted(key((r.doc_id,)) for r in left.collect()) == sorted(key((w[0],)) for w in want if w[7])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in left.collect()) == sorted(texts)
     assert Q.quality(docs.limit(0)).collect() == []
 
 
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(docs_of(), "doc_id long, text string, source string, kept string")
     assert "Python" not in Q.quality(docs)._jdf.queryExecution().toString() and "Arrow" not in Q.quality(docs)._jdf.queryExecution().toString()
+
+
+def test_large_verdict_tables_are_dealt_out(spark, monkeypatch):
+    docs = spark.createDataFrame(docs_of(), "doc_id long, text string, source string, kept string").repartition(3)
+    rows = lambda df: sorted(map(str, df.collect()))
+    options = {"least_texts": 5, "share": 0.05, "min_left": 0.5}
+    few = rows(Q.quality(docs, **options)), rows(Q.kept_documents(docs, **options))
+    monkeypatch.setattr(Q, "FEW", 0)
+    assert (rows(Q.quality(docs, **options)), rows(Q.kept_documents(docs, **options))) == few
+
+
+def test_the_line_rule_meets_the_tables(spark):
+    read = lambda sf: Q.quality(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    assert read("sf0.01").where("n_lines_lost > 0").count() > 20
+    assert read("sf0.1").where("not kept and not base_failed").count() > 0
