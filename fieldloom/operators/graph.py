@@ -145,13 +145,13 @@ def component_plan(inc: DataFrame, wanted: DataFrame, least: int = 100) -> DataF
 def attracted(inc: DataFrame, nonlinear: DataFrame, first_ring: bool = False) -> DataFrame:
     """(coni, cluster): cores of non-linear constraints that draw in linear ones next to exactly one cluster, all at once, round by round.
 
-    first_ring: cores are joined over the linear constraints beside them first.
+    first_ring: each non-linear constraint is joined to all that share a signal with it first; linear ones beside different
+    cores do not join these by a signal that no non-linear constraint holds.
     """
-    seeds = nonlinear.select("coni")
+    seeds = inc.join(nonlinear.select("coni"), "coni", "left_semi")
     if first_ring:
-        near = inc.join(seeds, "coni", "left_semi").select("signal").distinct()
-        seeds = inc.join(near, "signal", "left_semi").select("coni").distinct()
-    start = constraint_components(inc.join(seeds, "coni", "left_semi")).withColumnRenamed("component", "cluster")
+        seeds = inc.join(seeds.select("signal").distinct(), "signal", "left_semi")
+    start = constraint_components(seeds).withColumnRenamed("component", "cluster")
 
     def step(state: DataFrame) -> DataFrame:
         held = inc.join(state, "coni").select("signal", "cluster").distinct()

@@ -5,6 +5,7 @@ Merges depend on order, so each connected graph of parts is one group, taken in
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -79,32 +80,59 @@ class PartGraph:
         return name
 
 
+def _passing(g: PartGraph, p: int) -> set[int]:
+    return g.ins(p) & g.outs(p)
+
+
 PROPERTIES: dict[str, Callable[[PartGraph, int], bool]] = {
-    "passthrough": lambda g, p: bool(g.ins(p) & g.outs(p)),
+    "passthrough": lambda g, p: bool(_passing(g, p)),
     "only_nonlinear": lambda g, p: g.parts[p].n_linear == 0,
     "single_linear": lambda g, p: g.parts[p].n_linear == 1 and g.parts[p].n_nonlinear == 0,
     "unsafe_linear": lambda g, p: g.parts[p].n_linear == 1 and g.parts[p].n_nonlinear == 0 and len(g.after[p]) > 1,
 }
 
 
-def merge_where(graph: PartGraph, kind: str, down: bool = True, up: bool = True) -> None:
-    """Each part with the property merges with a neighbour: the one whose merge takes the fewest parts, then one without the
-    property, then the least. What has arisen is looked at again."""
+def attraction(g: PartGraph, kind: str, part: int, near: int, below: bool, favour_down: bool) -> int:
+    """How much a neighbour, ``below`` or above a part with the property, draws it; 0: they do not merge.
+
+    passthrough: signals that pass through the part and end at the neighbour. only_nonlinear: whether the neighbour has a linear
+    constraint. Single linear parts: signals on the arc between them, and on the favoured side those that come from the other.
+    """
+    if kind == "passthrough":
+        reach, ends = (g.ins(near), g.outs(near)) if below else (g.outs(near), g.ins(near))
+        return len(_passing(g, part) & reach - ends)
+    if kind == "only_nonlinear":
+        return int(g.parts[near].n_linear > 0)
+    if below:
+        return (len(g.ins(part)) if favour_down else 0) + len(g.outs(part) & g.ins(near))
+    return (0 if favour_down else len(g.outs(part))) + len(g.ins(part) & g.outs(near))
+
+
+def merge_where(graph: PartGraph, kind: str, favour_down: bool = True) -> None:
+    """Parts with the property merge one after the other, in order of their names, each with a neighbour that draws it:
+    the one whose merge takes the most parts (all on ways between the two go along), of these the one that draws least, then
+    parts above before those below, then the least. What has arisen waits at the end of the queue if it has the property, as
+    does a part that nothing draws; the end is reached when all that wait are such."""
     has = PROPERTIES[kind]
-    todo = sorted(graph.parts)
-    while todo:
-        part = todo.pop(0)
+    todo, idle = deque(sorted(p for p in graph.parts if has(graph, p))), 0
+    while len(todo) > idle:
+        part = todo.popleft()
         if part not in graph.parts or not has(graph, part):
             continue
-        near = (graph.after[part] if down else set()) | (graph.before[part] if up else set())
-        if not near:
+        sides = [(n, False) for n in sorted(graph.before[part])] + [(n, True) for n in sorted(graph.after[part])]
+        drawn = [(n, k) for n, below in sides if (k := attraction(graph, kind, part, n, below, favour_down)) > 0]
+        if not drawn:
+            todo.append(part)
+            idle += 1
             continue
-        groups = {n: graph.closure(part, n) for n in near}
-        best = min(near, key=lambda n: (len(groups[n]), has(graph, n), n))
-        todo.insert(0, graph.merge(groups[best]))
+        groups = {n: graph.closure(part, n) for n, _ in drawn}
+        best = max(drawn, key=lambda x: (len(groups[x[0]]), -x[1]))[0]
+        name, idle = graph.merge(groups[best]), 0
+        if has(graph, name) and name not in todo:
+            todo.append(name)
 
 
-def merged_parts(inc: DataFrame, terms: DataFrame, parts: DataFrame, arcs: DataFrame, inputs: DataFrame, outputs: DataFrame, kind: str, down: bool = True, up: bool = True) -> DataFrame:
+def merged_parts(inc: DataFrame, terms: DataFrame, parts: DataFrame, arcs: DataFrame, inputs: DataFrame, outputs: DataFrame, kind: str, favour_down: bool = True) -> DataFrame:
     """(coni, part_id): the partition after ``merge_where``; a part takes the least name of those merged into it."""
     parts = cut(parts)
     held = inc.join(parts, "coni").select("part_id", "signal").distinct()
@@ -121,7 +149,7 @@ def merged_parts(inc: DataFrame, terms: DataFrame, parts: DataFrame, arcs: DataF
         of = lambda x: set() if x is None else {int(v) for v in x}
         nodes = {int(r.part_id): Part(of(r.signals), of(r.ins), of(r.outs), int(r.n - r.n_nonlinear), int(r.n_nonlinear), {int(r.part_id)}) for r in df.itertuples()}
         graph = PartGraph(nodes, {(int(r.part_id), b) for r in df.itertuples() for b in of(r.succ)})
-        merge_where(graph, kind, down, up)
+        merge_where(graph, kind, favour_down)
         return pd.DataFrame([(m, name) for name, p in graph.parts.items() for m in p.members], columns=["old", "new"])
 
     renamed = table.groupBy("component").applyInPandas(run, "old long, new long")

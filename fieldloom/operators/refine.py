@@ -2,16 +2,18 @@
 
 A colour is a string of the round before hashed to a label; labels are compared within one run only. Constraints
 and signals are recoloured in turn from each other's colours and the coefficients between them, until the number of
-classes on both sides stays. Factors without an order take a signal's coefficients in both as a sorted pair.
+classes on both sides stays. Factors without an order take a signal's coefficients in both as a sorted pair: that forgets
+which signals share a factor, so colours alone prove a difference, never equality. Every mapping is checked term by term.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut, iterate
+from ..plans.fixpoint import cut, iterate, ranked
+from .graph import constraint_components
 from .relational import ordered_factors
 
 #: Rounds after which refinement to stable colours is given up with an error.
@@ -41,11 +43,20 @@ def _key(*parts: Column) -> Column:
     return F.md5(text)
 
 
-def refined(terms: DataFrame, signals: DataFrame | None = None, most: int | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _bag(*columns: str) -> Column:
+    """Aggregate: one text for equal multisets of rows: their number, and both halves of two 64-bit hashes summed."""
+    sums = []
+    for salt in (1, 2):
+        h = F.xxhash64(F.lit(salt), *columns)
+        sums += [F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return F.concat_ws(":", F.count("*"), *sums)
+
+
+def refined(terms: DataFrame, signals: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((coni, color), (signal, color)), stable unless ``most`` asks for so many rounds. signals: (signal, role) with first colours; without it all are alike.
 
-    The constant keeps a colour of its own. Each round is two grouped hashes over the incidence; text keys of groups
-    stand in one row, as long as the group. ``by`` is kept for callers that colour several systems in one table.
+    The constant keeps a colour of its own. Each round is two grouped sums of hashes over the incidence, so a constraint's
+    or signal's neighbours are never gathered in one row, however many they are.
     """
     slot = cut(slots(terms))
     used = slot.select("signal").distinct()
@@ -56,15 +67,14 @@ def refined(terms: DataFrame, signals: DataFrame | None = None, most: int | None
     sig = cut(_labelled(first.select("signal", "key"), "signal"))
     con, seen = None, None
     for _ in range(most or GUARD):
-        rows = slot.join(sig, "signal")
-        around = rows.groupBy("coni").agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col("color").cast("string"), "slot"))).alias("l"))
+        around = slot.join(sig, "signal").groupBy("coni").agg(_bag("color", "slot").alias("bag"))
         if con is None:
-            keys = around.select("coni", _key(F.array_join("l", ";")).alias("key"))
+            keys = around.select("coni", F.col("bag").alias("key"))
         else:
-            keys = around.join(con, "coni").select("coni", _key(F.col("color").cast("string"), F.array_join("l", ";")).alias("key"))
+            keys = around.join(con, "coni").select("coni", _key(F.col("color").cast("string"), "bag").alias("key"))
         con = cut(_labelled(keys, "coni"))
-        back = slot.join(con, "coni").groupBy("signal").agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col("color").cast("string"), "slot"))).alias("l"))
-        sig = cut(_labelled(back.join(sig, "signal").select("signal", _key(F.col("color").cast("string"), F.array_join("l", ";")).alias("key")), "signal"))
+        back = slot.join(con, "coni").groupBy("signal").agg(_bag("color", "slot").alias("bag"))
+        sig = cut(_labelled(back.join(sig, "signal").select("signal", _key(F.col("color").cast("string"), "bag").alias("key")), "signal"))
         now = con.agg(F.countDistinct("color")).first()[0], sig.agg(F.countDistinct("color")).first()[0]
         if now == seen:
             break
@@ -99,44 +109,89 @@ def equal_shapes(parts: DataFrame, terms: DataFrame) -> DataFrame:
     return keys.join(low, "key").select("part_id", "class_id")
 
 
-def same_system(left: DataFrame, right: DataFrame, left_signals: DataFrame | None = None, right_signals: DataFrame | None = None) -> dict:
-    """Whether two systems of norms are alike up to names: ``result`` is ``False`` with the reason, ``True`` with a
-    mapping where refinement alone decides it, and ``None`` (unknown) where classes of several members stay and the
-    bounded search over them finds no answer.
+def _forms(terms: DataFrame) -> DataFrame:
+    """(coni, form): a constraint's factors and linear part in full; factors without an order are sorted."""
+    entry = F.struct("signal", "coef")
+    side = lambda x: F.sort_array(F.collect_list(F.when(F.col("part") == x, entry)))
+    whole = terms.groupBy("coni").agg(side("A").alias("a"), side("B").alias("b"), side("C").alias("c")).join(ordered_factors(terms), "coni")
+    text = lambda x: F.to_json(F.struct(F.col(x).alias("x")))
+    first = F.when(F.col("ordered"), text("a")).otherwise(F.least(text("a"), text("b")))
+    second = F.when(F.col("ordered"), text("b")).otherwise(F.greatest(text("a"), text("b")))
+    return whole.select("coni", F.concat_ws("#", first, second, text("c")).alias("form"))
+
 
-    Both are coloured in one table, odd ids left and even ids right, so equal colours mean equal roles.
+def same_system(left: DataFrame, right: DataFrame, left_signals: DataFrame | None = None, right_signals: DataFrame | None = None, most: int = 64, largest: int = 20_000) -> dict:
+    """Whether two systems of norms are alike up to names.
+
+    ``result`` is ``False`` with the reason; ``True`` with a mapping (``signals``: left_signal, right_signal) that makes each
+    constraint of one system a constraint of the other, term by term up to the order of like factors; or ``None`` where the
+    search gave up. Both are coloured in one table. Signals alone in their colour on each side are fixed; they and the
+    constant cut the rest into pieces that share no open signal. Pieces of equal colours are matched by a search that
+    individualises and refines, ``most`` refinements a pair of pieces; a piece of over ``largest`` constraints is given up.
     """
     mark = lambda df, side: df.withColumn("coni", F.col("coni") * 2 + side).withColumn("signal", F.when(F.col("signal") == 0, F.lit(0).cast("long")).otherwise(F.col("signal") * 2 + side))
-    both = mark(left, 0).unionByName(mark(right, 1))
+    both = cut(mark(left, 0).unionByName(mark(right, 1)).select("coni", "part", "signal", "coef"))
     roles = None
     if left_signals is not None and right_signals is not None:
         roles = left_signals.withColumn("signal", F.col("signal") * 2).unionByName(right_signals.withColumn("signal", F.col("signal") * 2 + 1))
     con, sig = refined(both, roles)
-    uneven = 0
     for df, name in ((con, "coni"), (sig.where("signal <> 0"), "signal")):
         n = df.groupBy("color").agg(F.count_if(F.col(name) % 2 == 0).alias("l"), F.count_if(F.col(name) % 2 == 1).alias("r"))
-        uneven += n.where("l <> r").count()
-    if uneven:
-        return {"result": False, "reason": "classes of different sizes"}
-    pairs = lambda df, name: df.groupBy("color").agg(F.collect_list(F.when(F.col(name) % 2 == 0, F.floor(F.col(name) / 2))).alias("l"), F.collect_list(F.when(F.col(name) % 2 == 1, F.floor(F.col(name) / 2))).alias("r"))
-    c, s = pairs(con, "coni"), pairs(sig.where("signal <> 0"), "signal")
-    open_ = c.where("size(l) > 1").count() + s.where("size(l) > 1").count()
-    one = lambda df, name: df.where("size(l) = 1").select(F.col("l")[0].alias(f"left_{name}"), F.col("r")[0].alias(f"right_{name}"))
-    return {"result": True if not open_ else None, "reason": "refined to single members" if not open_ else f"{open_} classes of several members", "constraints": one(c, "coni"), "signals": one(s, "signal")}
-
-
-def individualised(terms: DataFrame, left_is_even: bool = True, most: int = 64) -> bool | None:
-    """Searches a small joint system (left constraints and signals even, right odd) for a bijection by individualising
-    one member of the least open class and refining again, depth first. None once ``most`` refinements are spent.
+        if not n.where("l <> r").isEmpty():
+            return {"result": False, "reason": f"classes of different sizes ({name})"}
+    # a fixed signal goes by its colour on both sides; colours are least members, so none is 0
+    single = sig.where("signal <> 0").groupBy("color").agg(F.count("*").alias("n")).where("n = 2").select("color", F.lit(True).alias("fixed"))
+    known = cut(sig.join(single, "color", "left").select("signal", "color", (F.col("fixed").isNotNull() | (F.col("signal") == 0)).alias("fixed")))
+    named = cut(both.join(known, "signal"))
+    pieces = constraint_components(named.where("not fixed").select("coni", "signal").distinct())
+    same_name = named.withColumn("signal", F.when(F.col("fixed") & (F.col("signal") != 0), -F.col("color")).otherwise(F.col("signal")))
+    closed = _forms(same_name.join(pieces, "coni", "left_anti"))
+    uneven = closed.groupBy("form").agg(F.count_if(F.col("coni") % 2 == 0).alias("l"), F.count_if(F.col("coni") % 2 == 1).alias("r")).where("l <> r")
+    if not uneven.isEmpty():
+        return {"result": False, "reason": "constraints of fixed signals differ"}
+    fixed = known.where("fixed and signal <> 0").groupBy("color").agg(F.min(F.when(F.col("signal") % 2 == 0, F.shiftright("signal", 1))).alias("left_signal"), F.min(F.when(F.col("signal") % 2 == 1, F.shiftright("signal", 1))).alias("right_signal")).select("left_signal", "right_signal")
+    if pieces.isEmpty():
+        return {"result": True, "reason": "all signals are fixed", "signals": fixed}
+    shape = con.join(pieces, "coni").groupBy("component").agg(_bag("color").alias("shape"), F.count("*").alias("n"))
+    if not shape.where(F.col("n") > largest).isEmpty():
+        return {"result": None, "reason": f"a piece of over {largest} constraints has open signals"}
+    rows = same_name.join(pieces, "coni").join(shape.select("component", "shape"), "component").select("shape", "component", "coni", "part", "signal", "coef", "color")
+
+    def match(df: pd.DataFrame) -> pd.DataFrame:
+        parts = [x for _, x in sorted(((int(c), x) for c, x in df.groupby("component")), key=lambda y: y[0])]
+        mine = [x for x in parts if int(x.coni.iloc[0]) % 2 == 0]
+        theirs = [x for x in parts if int(x.coni.iloc[0]) % 2 == 1]
+        out: list[tuple] = []
+        for x in mine:
+            unsure = False
+            for i, y in enumerate(theirs):
+                found, names = match_small(x, y, most)
+                unsure |= found is None
+                if found:
+                    out += [(1, a >> 1, b >> 1) for a, b in names.items() if a > 0]
+                    del theirs[i]
+                    break
+            else:
+                out.append((-1 if unsure else 0, None, None))
+        return pd.DataFrame(out or [(0, None, None)], columns=["ok", "left_signal", "right_signal"])
 
-    Runs on the driver's rows of one class of small subsystems; ``same_small`` applies it per group.
-    """
-    rows = terms.toPandas()
-    return same_small(rows[rows.coni % 2 == 0], rows[rows.coni % 2 == 1], most)
+    found = cut(rows.groupBy("shape").applyInPandas(match, "ok int, left_signal long, right_signal long"))
+    worst = {r[0] for r in found.select("ok").distinct().collect()}
+    if 0 in worst:
+        return {"result": False, "reason": "a piece has no match"}
+    if -1 in worst:
+        return {"result": None, "reason": "the search gave up on a piece"}
+    return {"result": True, "reason": "all pieces match", "signals": fixed.union(found.select("left_signal", "right_signal"))}
 
 
 def same_small(left: pd.DataFrame, right: pd.DataFrame, most: int = 64) -> bool | None:
     """Whether two small systems (coni, part, signal, coef), already normalised, are alike up to names."""
+    return match_small(left, right, most)[0]
+
+
+def match_small(left: pd.DataFrame, right: pd.DataFrame, most: int = 64) -> tuple[bool | None, dict[int, int]]:
+    """(whether two small systems are alike, the right signal of each left one): a search over colour classes, each mapping
+    it ends with checked term by term. A column ``color`` gives first colours; None once ``most`` refinements are spent."""
     budget = [most]
 
     def table(df: pd.DataFrame) -> dict:
@@ -147,15 +202,18 @@ def same_small(left: pd.DataFrame, right: pd.DataFrame, most: int = 64) -> bool
 
     systems = [table(left), table(right)]
     if len(systems[0]) != len(systems[1]):
-        return False
+        return False, {}
+    coefs = lambda con, part: sorted(c[part] for c in con.values() if part in c)
 
     def slot_of(con: dict) -> dict:
-        a = sorted(c["A"] for c in con.values() if "A" in c)
-        b = sorted(c["B"] for c in con.values() if "B" in c)
-        if a != b:
+        if coefs(con, "A") != coefs(con, "B"):
             return {s: tuple(sorted(c.items())) for s, c in con.items()}
         return {s: (tuple(sorted(v for k, v in c.items() if k != "C")), c.get("C", -1)) for s, c in con.items()}
 
+    def form(con: dict, name: dict) -> tuple:
+        a, b, c = (tuple(sorted((name[s], x[part]) for s, x in con.items() if part in x)) for part in "ABC")
+        return (a, b, c) if coefs(con, "A") != coefs(con, "B") else (min(a, b), max(a, b), c)
+
     slot = [{k: slot_of(c) for k, c in sys.items()} for sys in systems]
 
     def refine(color: list[dict]) -> list[dict] | None:
@@ -164,7 +222,6 @@ def same_small(left: pd.DataFrame, right: pd.DataFrame, most: int = 64) -> bool
             budget[0] -= 1
             names: dict = {}
             cons = [{k: names.setdefault(tuple(sorted((color[i][s], v) for s, v in c.items())), len(names)) for k, c in slot[i].items()} for i in (0, 1)]
-            names = {}
             new = []
             for i in (0, 1):
                 around: dict = {s: [] for s in color[i]}
@@ -180,28 +237,35 @@ def same_small(left: pd.DataFrame, right: pd.DataFrame, most: int = 64) -> bool
                 return color
             n = len(order)
 
-    def search(color: list[dict]) -> bool | None:
+    def search(color: list[dict]) -> tuple[bool | None, dict]:
         color = refine(color)
         if color is None:
-            return False
+            return False, {}
         sizes: dict = {}
         for s, c in color[0].items():
             sizes.setdefault(c, []).append(s)
         open_ = [(len(v), c) for c, v in sizes.items() if len(v) > 1]
         if not open_:
-            return True
+            there = {c: s for s, c in color[1].items()}
+            names = {s: there[c] for s, c in color[0].items()}
+            own = {s: s for s in color[1]}
+            alike = sorted(form(c, names) for c in systems[0].values()) == sorted(form(c, own) for c in systems[1].values())
+            return alike, names if alike else {}
         if budget[0] <= 0:
-            return None
+            return None, {}
         _, c = min(open_)
         chosen, unsure = min(sizes[c]), False
         for other in sorted(s for s, x in color[1].items() if x == c):
-            got = search([{**color[0], chosen: -1}, {**color[1], other: -1}])
+            got, names = search([{**color[0], chosen: -1}, {**color[1], other: -1}])
             if got:
-                return True
+                return True, names
             unsure |= got is None
-        return None if unsure else False
+        return (None if unsure else False), {}
 
     first = [{s: (-2 if s == 0 else 0) for c in sys.values() for s in c} for sys in systems]
+    for colors, df in zip(first, (left, right), strict=True):
+        if "color" in df:
+            colors.update({int(s): int(c) for s, c in zip(df.signal, df.color, strict=True) if s != 0})
     if any((0 in f) for f in first):
         for f in first:
             f.setdefault(0, -2)
@@ -239,7 +303,7 @@ def equivalent_parts(parts: DataFrame, terms: DataFrame, most: int = 64) -> Data
 
 def shuffled(terms: DataFrame, seed: int, p: int = 257) -> DataFrame:
     """The same system under other names: constraints and signals permuted, the sides scaled, factors swapped."""
-    ids = lambda df, name: df.select(name).distinct().withColumn("new", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), name), name)).cast("long"))
+    ids = lambda df, name: ranked(df.select(name).distinct().withColumn("__h", F.xxhash64(F.lit(seed), name)), ["__h", name], "new").drop("__h")
     cons = ids(terms, "coni").select("coni", F.col("new").alias("nc"))
     sigs = ids(terms.where("signal <> 0"), "signal").select("signal", F.col("new").alias("ns"))
     rows = terms.join(cons, "coni").join(sigs, "signal", "left")

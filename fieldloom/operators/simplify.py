@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.field import Field
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import cut, ranked
 from .graph import components, constraint_components
 
 
@@ -167,7 +167,9 @@ def simplified(terms: DataFrame, forbidden: DataFrame, p: int = 257, most: int =
         subs = solved.where("kind = 'sub'").select("from_sig", "signal", "coef")
         kept = substituted(state.join(lin.select("coni").distinct(), "coni", "left_anti"), subs, f)
         base = state.agg(F.max("coni")).first()[0] + 1
-        left = solved.where("kind = 'left'").select((F.abs(F.xxhash64("cluster", "from_sig")) % (1 << 40) + base).alias("coni"), F.lit("C").alias("part"), "signal", "coef")
+        rest = solved.where("kind = 'left'")
+        names = ranked(rest.select("cluster", "from_sig").distinct(), ["cluster", "from_sig"], "__place")
+        left = rest.join(names, ["cluster", "from_sig"]).select((F.col("__place") + base).alias("coni"), F.lit("C").alias("part"), "signal", "coef")
         alone = lin.groupBy("coni").agg(F.count_if(F.col("signal") != 0).alias("k")).where("k = 0").select("coni")
         state = cut(fixed_constraints(kept.unionByName(left).unionByName(lin.join(alone, "coni", "left_semi")), f))
     return state

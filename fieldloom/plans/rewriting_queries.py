@@ -111,12 +111,37 @@ def eq10(spark, d):
     return X.equivalent_parts(*cores(spark, d))
 
 
-@query("eq1_shuffled_system", "r AS (SELECT true AS alike) SELECT * FROM r")
-def eq1(spark, d, most=2):
-    t = N.norms(D.terms(spark, d, most)).where("choice = 1").select("coni", "part", "signal", "coef")
-    moved = N.norms(X.shuffled(D.terms(spark, d, most), 7)).where("choice = 1").select("coni", "part", "signal", "coef")
-    got = X.same_system(t, moved)
-    return spark.createDataFrame([(got["result"] is not False,)], "alike boolean")
+def renamed(terms):
+    """The system under names that SQL can give too; which of two factors comes first changes with them."""
+    swap = F.col("coni") % 2 == 1
+    part = F.when(swap & (F.col("part") == "A"), "B").when(swap & (F.col("part") == "B"), "A").otherwise(F.col("part"))
+    signal = F.when(F.col("signal") == 0, F.lit(0).cast("long")).otherwise(3 * F.col("signal") + 5)
+    return terms.select((5 * F.col("coni") + 2).alias("coni"), part.alias("part"), signal.alias("signal"), "coef")
+
+
+def _same(left, right):
+    """(alike, left_signal, right_signal): the mapping found, or one row without signals."""
+    first = lambda t: N.norms(t).where("choice = 1").select("coni", "part", "signal", "coef")
+    got = X.same_system(first(left), first(right))
+    if got["result"]:
+        return got["signals"].select(F.lit(True).alias("alike"), "left_signal", "right_signal")
+    return left.sparkSession.createDataFrame([(got["result"], None, None)], "alike boolean, left_signal long, right_signal long")
+
+
+@query("eq1_shuffled_system", f"{T} SELECT DISTINCT true AS alike, signal AS left_signal, 3 * signal + 5 AS right_signal FROM term WHERE signal <> 0")
+def eq1(spark, d):
+    t = D.terms(spark, d)
+    return _same(t, renamed(t))
+
+
+@query("eq1_changed_coefficient", "r AS (SELECT false AS alike, CAST(NULL AS BIGINT) AS left_signal, CAST(NULL AS BIGINT) AS right_signal) SELECT * FROM r")
+def eq1b(spark, d):
+    """One coefficient of one part with several differs, so that no scaling makes up for it: there is no mapping."""
+    t = D.terms(spark, d)
+    several = t.groupBy("coni", "part").agg(F.count("*").alias("n"), F.min("signal").alias("signal")).where("n > 1")
+    one = several.agg(F.min(F.struct("coni", "signal", "part")).alias("m")).select("m.*").withColumn("more", F.lit(1))
+    changed = t.join(F.broadcast(one), ["coni", "signal", "part"], "left").select("coni", "part", "signal", F.when(F.col("more") == 1, F.col("coef") % 256 + 1).otherwise(F.col("coef")).alias("coef"))
+    return _same(t, renamed(changed))
 
 
 @query("sub1_size_classes", f"{SP}, z AS (SELECT coni, count(*) AS n FROM term GROUP BY 1), v AS (SELECT n, CASE WHEN lag(n) OVER (ORDER BY n) IS NULL OR NOT (n - lag(n) OVER (ORDER BY n) <= 1 OR lag(n) OVER (ORDER BY n) >= 0.8 * n) THEN n END AS s FROM (SELECT DISTINCT n FROM z)), g AS (SELECT n, max(s) OVER (ORDER BY n) AS class_size FROM v) SELECT coni, CAST(class_size AS BIGINT) AS class_size FROM z JOIN g USING (n)")
@@ -303,9 +328,21 @@ def vf3(spark, d, most=2):
     return V.linear_bounds(D.terms(spark, d, most), V.tightened(V.domains(squares(spark, d), FIELD)), FIELD)
 
 
-@query("vf8_deduced_bounds")
+def chained(spark, d):
+    """Squares as above, and for each a line x - y - 3 = 0 to a signal of its own, which no square bounds."""
+    k = F.col("o_orderkey").cast("long")
+    rows = F.array(*(F.struct(F.lit("C").alias("part"), s.alias("signal"), F.lit(c).cast("long").alias("coef")) for s, c in ((k % 700 + 1, 1), (k % 700 + 1001, 256), (F.lit(0).cast("long"), 254))))
+    lines = D.table(spark, d, "orders").select((-k).alias("coni"), F.inline(rows))
+    return squares(spark, d).unionByName(lines)
+
+
+# y = x - 3 where that stays within the field's integers; a y below 0 says nothing, but bounds of x from y = x - 3 <= 253 hold none
+@query(
+    "vf8_deduced_bounds",
+    f"{DOM}, b AS (SELECT signal, max(lo) AS lo, min(hi) AS hi FROM q GROUP BY signal) SELECT signal, lo, hi FROM b UNION ALL SELECT signal + 1000, lo - 3, hi - 3 FROM b WHERE lo >= 3 AND hi >= lo",
+)
 def vf8(spark, d):
-    return V.deduced_bounds(squares(spark, d), FIELD)
+    return V.deduced_bounds(chained(spark, d), FIELD)
 
 
 @query("vf10_determined")

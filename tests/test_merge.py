@@ -32,7 +32,34 @@ def test_merges_keep_the_graph_acyclic_and_end_the_property():
             assert acyclic(graph)
             assert sorted(m for p in graph.parts.values() for m in p.members) == list(range(n))
             assert all(name == min(p.members) for name, p in graph.parts.items())
-            assert all(not M.PROPERTIES[kind](graph, p) or not (graph.after[p] | graph.before[p]) for p in graph.parts)
+            drawn = lambda p: [n for below, side in ((True, graph.after), (False, graph.before)) for n in side[p] if M.attraction(graph, kind, p, n, below, True) > 0]
+            assert all(not M.PROPERTIES[kind](graph, p) or not drawn(p) for p in graph.parts)
+
+
+def test_only_neighbours_that_draw_merge():
+    # signal 1 passes through part 1 and on through part 2, nothing takes it in
+    through = M.PartGraph({i: M.Part({1, 10 + i}, {1} if i == 1 else set(), {1} if i == 2 else set(), 1, 0, {i}) for i in (1, 2)}, {(1, 2)})
+    M.merge_where(through, "passthrough")
+    assert set(through.parts) == {1, 2}
+    # part 2 takes in what passes through part 1
+    caught = M.PartGraph({1: M.Part({1, 5}, {1}, set(), 1, 0, {1}), 2: M.Part({1, 6}, set(), {6}, 1, 0, {2})}, {(1, 2)})
+    M.merge_where(caught, "passthrough")
+    assert set(caught.parts) == {1}
+    hard = M.PartGraph({i: M.Part({1}, set(), set(), 0, 1, {i}) for i in (1, 2)}, {(1, 2)})
+    M.merge_where(hard, "only_nonlinear")
+    assert set(hard.parts) == {1, 2}
+    mixed = M.PartGraph({1: M.Part({1}, set(), set(), 0, 1, {1}), 2: M.Part({1, 2}, set(), set(), 0, 1, {2}), 3: M.Part({2}, set(), set(), 1, 0, {3})}, {(1, 2), (2, 3)})
+    M.merge_where(mixed, "only_nonlinear")
+    assert sorted(sorted(p.members) for p in mixed.parts.values()) == [[1, 2, 3]]
+
+
+def test_favoured_side_and_order():
+    part = lambda signals, linear, i: M.Part(signals, set(), set(), linear, 1 - linear, {i})
+    # 2 is linear, between 1 and 3; it draws to the side that draws least of those that take equally many parts
+    for down, want in ((True, [[1, 2], [3]]), (False, [[1], [2, 3]])):
+        g = M.PartGraph({1: part({1, 9}, 0, 1), 2: part({1, 2}, 1, 2), 3: part({2, 8}, 0, 3)}, {(1, 2), (2, 3)})
+        M.merge_where(g, "single_linear", down)
+        assert sorted(sorted(p.members) for p in g.parts.values()) == want
 
 
 def test_least_cut_by_brute_force():
