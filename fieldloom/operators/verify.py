@@ -39,6 +39,14 @@ def linear_bounds(terms: DataFrame, bounds: DataFrame, f: Field) -> DataFrame:
     return rows.groupBy("coni", "part").agg(F.sum(low).alias("lo"), F.sum(high).alias("hi"))
 
 
+def product_bounds(parts: DataFrame) -> DataFrame:
+    """(coni, lo, hi) of the product of both factors, from ``linear_bounds``: the least and the greatest of the four products
+    of their ends, whatever their signs."""
+    side = lambda p: parts.where(F.col("part") == p).select("coni", F.col("lo").alias(f"{p}l"), F.col("hi").alias(f"{p}h"))
+    ends = [F.col(a) * F.col(b) for a in ("Al", "Ah") for b in ("Bl", "Bh")]
+    return side("A").join(side("B"), "coni").select("coni", F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"))
+
+
 def tightened(bounds: DataFrame) -> DataFrame:
     """(signal, lo, hi): the intersection of all bounds of a signal."""
     return bounds.groupBy("signal").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))

@@ -10,9 +10,9 @@ import inspect
 from functools import partial
 
 from ..sources import derived as D
-from . import algebra_queries, graph_queries, merge_queries, relational_queries, rewriting_queries
+from . import algebra_queries, graph_queries, merge_queries, more_queries, relational_queries, rewriting_queries
 
-_ALL = (relational_queries, algebra_queries, graph_queries, rewriting_queries, merge_queries)
+_ALL = (relational_queries, algebra_queries, graph_queries, rewriting_queries, merge_queries, more_queries)
 QUERIES = {k: f for m in _ALL for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _ALL for k, s in m.ORACLES.items()}
 CLOSURES = ("reach AS", "w AS (SELECT", "f AS (SELECT DISTINCT coni AS node")
