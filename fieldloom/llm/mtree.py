@@ -6,8 +6,10 @@ routing vector, a covering radius and its distance to the routing vector above;
 distance. Nodes are visited best bound first; by the triangle inequality the stored distances rule out entries
 before any product with them is computed. Products are of integers, so bounds alone are rounded, with a margin.
 
-The vectors are split into blocks by a hash of their ids, with a tree each, written as arrays into the shared
-folder. Blocks of queries meet each tree once.
+The vectors are split into blocks around routing vectors, with a tree each, written as arrays into the shared folder;
+large blocks are split again by a hash of ids. A query goes to its nearest blocks first; the k-th score it finds there is where the
+search of the others begins, and a block whose covering radius cannot reach that score is never visited. Routing vectors
+come from a bounded sample; every row is indexed and the search is exact whatever they are.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from .shared import get_array, new_dir, put_array, written
 PAGE, FANOUT = 512, 16
 #: Vectors of a tree, about; queries that go to a tree together.
 BLOCK, QUERIES = 8192, 1024
+#: Routing vectors taken from a sample, and trees, of which tasks get one vector each, at most for each length of vectors;
+#: beyond that many trees grow.
+ROUTES, TREES = 256, 16_384
 #: Rounding of bounds, as a share of the largest distance.
 _MARGIN = 1e-9
+_NO_FLOOR = -(1 << 63)
 _ARRAYS = (("ids", np.int64), ("vectors", np.int64), ("toParent", np.float64), ("begin", np.int64), ("end", np.int64), ("leaf", np.int64), ("center", np.int64), ("radius", np.float64), ("nodeParent", np.float64), ("norm", np.float64))
 
 
@@ -62,10 +68,10 @@ def _split(full: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return groups
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> Tree:
-    """A tree of integer vectors, one row each."""
+def build(ids: np.ndarray, vectors: np.ndarray, norm: float | None = None) -> Tree:
+    """A tree of integer vectors, one row each; ``norm``: the squared norm they are lifted to, by default the largest."""
     square = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    norm = float(square.max(initial=0))
+    norm = float(square.max(initial=0)) if norm is None else norm
     full = np.concatenate([vectors.astype(np.float64), np.sqrt(norm - square)[:, None]], axis=1)
     order: list[np.ndarray] = []
     to_parent: list[np.ndarray] = []
@@ -104,10 +110,11 @@ def quick(tree: Tree) -> Tree:
     return Tree(**parts)
 
 
-def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int] | None = None) -> list[tuple[int, int]]:
+def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int] | None = None, least: int | None = None) -> list[tuple[int, int]]:
     """(score, id) of the k best vectors other than the query's own, ties to smaller ids.
 
-    seen: counts of products that were computed, if given. The query must suit the tree's kind of numbers.
+    seen: counts of products that were computed, if given. least: vectors of a smaller score need not be found. The query must suit
+    the tree's kind of numbers.
     """
     if not len(tree.ids):
         return []
@@ -116,7 +123,7 @@ def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int]
     square = float((query.astype(np.float64) ** 2).sum()) + float(tree.norm[0])
     margin = _MARGIN * (1 + 2 * square**0.5)
     found: list[tuple[int, int]] = []  # a heap of (score, -id): the worst of the best first
-    limit = np.inf
+    start = limit = np.inf if least is None else max(square - 2.0 * least, 0) ** 0.5
 
     def distance(rows: np.ndarray) -> np.ndarray:
         if seen is not None:
@@ -143,7 +150,8 @@ def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int]
             product, n = vectors[a + near] @ x, len(near)
         if seen is not None:
             seen[0] += n
-        hits = (product >= found[0][0]).nonzero()[0] if len(found) == k else np.arange(n)
+        floor = found[0][0] if len(found) == k else least
+        hits = (product >= floor).nonzero()[0] if floor is not None else np.arange(n)
         if not len(hits):
             continue
         rows = a + (hits if n == b - a else near[hits])
@@ -157,7 +165,7 @@ def search(tree: Tree, query_id: int, query: np.ndarray, k: int, seen: list[int]
             else:
                 break
         if len(found) == k:
-            limit = max(square - 2.0 * found[0][0], 0) ** 0.5
+            limit = min(start, max(square - 2.0 * found[0][0], 0) ** 0.5)
     return sorted(((int(s), -i) for s, i in found), key=lambda y: (-y[0], y[1]))
 
 
@@ -165,15 +173,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].astype(np.int64).reshape(-1, dim)
 
 
-def _builder(folder: str):
+def _builder(folder: str, norms: dict[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows = None, [], []
 
         def made() -> pa.RecordBatch:
-            tree = build(np.concatenate(ids), np.concatenate(rows))
+            tree = build(np.concatenate(ids), np.concatenate(rows), norms[now[0]])
             for name, kind in _ARRAYS:
                 put_array(folder, f"{now[0]}-{now[1]}.{name}", getattr(tree, name).astype(kind))
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in now] + [pa.array([len(tree.ids)], pa.int64())], ["dim", "block", "n"])
+            center = tree.vectors[tree.center[0]].astype(np.int64)
+            cols = [pa.array([x], pa.int32()) for x in now] + [pa.array([center], pa.list_(pa.int64())), pa.array([tree.radius[0]], pa.float64())]
+            return pa.RecordBatch.from_arrays(cols, ["dim", "block", "center", "radius"])
 
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
@@ -194,11 +204,13 @@ def _builder(folder: str):
 
 
 def _searcher(folder: str, k: int):
+    """Rows (dim, block, ids, floors, vectors as bytes), those of a block together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, whole = None, None, False
         for batch in batches:
             out: list[tuple] = []
-            for dim, block, ids, flat in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for dim, block, ids, floors, flat in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (dim, block) != now:
                     now = dim, block
                     parts = {name: get_array(folder, f"{dim}-{block}.{name}", kind) for name, kind in _ARRAYS}
@@ -207,23 +219,59 @@ def _searcher(folder: str, k: int):
                 queries = np.frombuffer(flat, np.int64).reshape(-1, dim)
                 if not whole and float(np.abs(queries).max(initial=0)) * float(np.abs(tree.vectors).max()) * dim >= 2**52:
                     tree, whole = Tree(**{**vars(tree), "vectors": tree.vectors.astype(np.int64)}), True
-                for query_id, query in zip(np.frombuffer(ids, np.int64).tolist(), queries, strict=True):
-                    out += [(query_id, i, s) for s, i in search(tree, query_id, query, k)]
+                for query_id, floor, query in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(floors, np.int64).tolist(), queries, strict=True):
+                    out += [(query_id, i, s) for s, i in search(tree, query_id, query, k, least=None if floor == _NO_FLOOR else floor)]
             table = np.array(out, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, i].copy()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries in groups of one dimension: (dim, ids, vectors) as bytes."""
-    for batch in batches:
-        dims = batch.column(0).to_numpy(zero_copy_only=False)
-        for dim in np.unique(dims).tolist():
-            part = batch.filter(pa.array(dims == dim))
-            rows = _matrix(part.column(2), dim)
-            for at in range(0, len(rows), QUERIES):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part.column(1).to_numpy()[at : at + QUERIES].tobytes()]), pa.array([rows[at : at + QUERIES].tobytes()])], ["dim", "ids", "flat"])
+def _router(routes: dict[int, np.ndarray]):
+    """Appends to (dim, id, v) the number of the nearest of the routing vectors of its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, route = batch.column(0).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                rows, centers = _matrix(batch.column(2).take(pa.array(own)), dim).astype(np.float64), routes[dim]
+                route[own] = np.argmin((centers**2).sum(axis=1) - 2.0 * rows @ centers.T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route)], ["dim", "id", "v", "route"])
+
+    return run
+
+
+def _asker(trees: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]], first: bool, k: int):
+    """From rows (dim, id, v, floor): for each block to be visited the queries that go there, packed. ``first``: only each
+    query's nearest block; else all others that a vector of score ``floor`` or more may be in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                blocks, centers, radius, norm = trees[dim]
+                part = batch.filter(pa.array(dims == dim))
+                ids, floors = (part.column(i).to_numpy() for i in (1, 3))
+                rows = _matrix(part.column(2), dim)
+                for at in range(0, len(rows), QUERIES):
+                    x, f = rows[at : at + QUERIES], floors[at : at + QUERIES]
+                    square = (x.astype(np.float64) ** 2).sum(axis=1) + norm
+                    low = np.sqrt(np.maximum(square[:, None] - 2.0 * x.astype(np.float64) @ centers.T, 0)) - radius
+                    nearest = np.argmin(low, axis=1)
+                    goes = np.zeros(low.shape, bool)
+                    if first:
+                        goes[np.arange(len(x)), nearest] = True
+                    else:
+                        reach = np.where(f == _NO_FLOOR, np.inf, np.sqrt(np.maximum(square - 2.0 * np.where(f == _NO_FLOOR, 0, f), 0)))
+                        goes = low <= (reach + _MARGIN * (1 + 2 * np.sqrt(square)))[:, None]
+                        goes[np.arange(len(x)), nearest] = False
+                    out = [(dim, int(blocks[j]), ids[at : at + QUERIES][g].tobytes(), f[g].tobytes(), x[g].tobytes()) for j in np.flatnonzero(goes.any(axis=0)) for g in [goes[:, j]]]
+                    if out:
+                        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["dim", "block", "ids", "floors", "flat"])
+
+    return run
 
 
 def top_products(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -240,15 +288,35 @@ def top_products(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     good = F.col(key).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = written(vectors.where(good).select(F.size(x).alias("dim"), F.col(key).cast("long").alias("id"), whole.alias("v")), "mtree-vectors")
-    n_blocks = -(-max(1, rows.count()) // BLOCK)
+    sizes = {r["dim"]: (r["n"], float(r["norm"])) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm")).collect()}
     folder = new_dir(spark, "mtree-pages")
-    blocks = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v")
+    routes, share = {}, {dim: max(BLOCK, -(-n // TREES)) for dim, (n, _) in sizes.items()}
+    for dim, (n, _) in sizes.items():
+        some = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(min(ROUTES, -(-n // share[dim]))).select("v").collect()
+        routes[dim] = np.unique(np.array([r["v"] for r in some], np.float64), axis=0)
+    n_blocks = sum(-(-n // share[dim]) for dim, (n, _) in sizes.items()) or 1
+    routed = written(rows.mapInArrow(_router(routes), "dim int, id long, v array<long>, route int"), "mtree-routed")
+    # a block is a route's rows, or where they are many a share of them by a hash of the id
+    load = routed.groupBy("dim", "route").agg(F.count("*").alias("n"))
+    per = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("dim")] if share else F.lit(1)
+    load = load.withColumn("shares", F.ceil(F.col("n") / per).cast("int")).drop("n")
+    first = F.sum("shares").over(Window.partitionBy("dim").orderBy("route").rowsBetween(Window.unboundedPreceding, -1))
+    load = load.withColumn("first", F.coalesce(first, F.lit(0)).cast("int"))
+    blocks = routed.join(F.broadcast(load), ["dim", "route"]).select("dim", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("shares"))).cast("int").alias("block"), "id", "v")
     blocks = blocks.repartition(n_blocks, "dim", "block").sortWithinPartitions("dim", "block")
-    trees = written(blocks.mapInArrow(_builder(folder), "dim int, block int, n long"), "mtree-trees")
+    made = written(blocks.mapInArrow(_builder(folder, {dim: norm for dim, (_, norm) in sizes.items()}), "dim int, block int, center array<long>, radius double"), "mtree-trees").collect()
+    trees = {}
+    for dim, (_, norm) in sizes.items():
+        own = [r for r in made if r["dim"] == dim]
+        trees[dim] = np.array([r["block"] for r in own]), np.array([r["center"] for r in own], np.float64), np.array([r["radius"] for r in own]), norm
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("q.dim", "id", "q.v")
-    asked = queries.coalesce(max(1, queries.count() // QUERIES)).mapInArrow(_gathered, "dim int, ids binary, flat binary")
-    pairs = written(asked, "mtree-queries").join(trees.select("dim", "block"), "dim").select("dim", "block", "ids", "flat")
-    pairs = pairs.repartition("dim", "block").sortWithinPartitions("dim", "block")
-    best = pairs.mapInArrow(_searcher(folder, k), "query_id long, vec_id long, score long")
+    queries = written(queries.withColumn("floor", F.lit(_NO_FLOOR)), "mtree-queries")
+    # partitions are named, so that small rows are not merged into one task
+    visit = lambda asked, first: asked.select("dim", "id", "v", "floor").mapInArrow(_asker(trees, first, k), "dim int, block int, ids binary, floors binary, flat binary").repartition(n_blocks, "dim", "block").sortWithinPartitions("dim", "block").mapInArrow(_searcher(folder, k), "query_id long, vec_id long, score long")
+    near = written(visit(queries, True), "mtree-near")
+    ends = F.sort_array(F.collect_list("score"), False)
+    floors = near.groupBy(F.col("query_id").alias("id")).agg(F.get(ends, F.lit(k - 1)).alias("found"))
+    asked = queries.drop("floor").join(floors, "id", "left").withColumn("floor", F.coalesce("found", F.lit(_NO_FLOOR)))
+    best = near.union(visit(asked, False))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", order.alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id"), "score")
