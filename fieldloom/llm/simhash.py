@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .shared import small, written
-from .similar import components_of, hashed_shingles, simhash, with_sketches
+from .similar import Forest, components_of, hashed_shingles, simhash, with_sketches
 from .words import texts_of
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -92,25 +92,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), side, np.int8)), pa.array(fp[at + row]), pa.array(node[at + row])], ["key", "side", "fp", "node"])
 
 
-class _Forest:
-    """Links that would close a circle are left out."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.top(x), self.top(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _linker(bits: int):
     def within(group: np.ndarray, side: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links between the two sides of each group of rows; rows are sorted by group, then side."""
@@ -120,7 +101,7 @@ def _linker(bits: int):
         keep = (left > 0) & (left < size)
         edge, size, left = edge[keep], size[keep], left[keep]
         right = size - left
-        todo, forest = left * right, _Forest()
+        todo, forest = left * right, Forest()
         done, b = np.cumsum(todo), 0
         while b < len(todo):
             a, b = b, max(b + 1, int(np.searchsorted(done, (done[b - 1] if b else 0) + (1 << 21), "right")))

@@ -24,11 +24,32 @@ SEED = 42
 BANDS, ROWS = 20, 4
 #: Pairs of one text that one task verifies.
 TOGETHER = 256
+#: Members of a block of a large bucket, and shingles of their sets, at most or about.
+MEMBERS, SHINGLES = 512, 4_000_000
 _random = np.random.default_rng(SEED)
 TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
+class Forest:
+    """Links that would close a circle are left out."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def hashed_shingles(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of each word shingle, in order, repeats included; the whole of a shorter text is one, no word gives none."""
     words = text.lower().split()
@@ -114,22 +135,25 @@ def _comparer(least: float):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
-    """The distinct ``pairs`` (a, b) of nodes whose sets are similar enough, as a written table.
+def sets_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(node, hashes) of ``nodes`` (node), as a written table. sets: (node, lead), lead a key of the node's texts: only these
+    texts are read again, one for each node."""
+    nodes = nodes.select("node").distinct()
+    # a key may have several texts, those of other nodes are dropped by name
+    lead = sets.join(nodes, "node", "left_semi").select(F.col("lead").alias("__lead")).distinct()
+    chosen = docs.join(lead, F.col(key) == F.col("__lead"), "left_semi")
+    return written(with_sets(chosen, text, shingle).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+
 
-    sets: (node, lead), lead a key of the node's texts. Only texts that a pair names are read again, one for each node. A node of
-    many pairs is dealt to several tasks, with a copy of its set for each.
+def verified(pairs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets (node, hashes) are similar enough, as a written table.
+
+    A node of many pairs is dealt to several tasks, with a copy of its set for each.
     """
     pairs = written(pairs, "similar-pairs")
-    load = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("pairs"))
-    named = load.select("node").union(pairs.select(F.col("b").alias("node"))).distinct()
-    # a key may have several texts, those of other nodes are dropped by name
-    lead = sets.join(named, "node", "left_semi").select(F.col("lead").alias("__lead")).distinct()
-    chosen = docs.join(lead, F.col(key) == F.col("__lead"), "left_semi")
-    found = written(with_sets(chosen, text, shingle).join(named, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
-    tasks = (F.ceil(F.col("pairs") / TOGETHER)).cast("int")
-    left = found.join(load, "node").select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"))
-    dealt = pairs.join(load.select(F.col("node").alias("a"), tasks.alias("tasks")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part"))
+    load = pairs.groupBy(F.col("a").alias("node")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("tasks"))
+    left = found.join(load, "node").select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part"))
+    dealt = pairs.join(load.withColumnRenamed("node", "a"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part"))
     both = dealt.join(found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
     return written(both.mapInArrow(_comparer(least), "a long, b long"), "similar-links")
 
@@ -141,26 +165,90 @@ def banded_pairs(sets: DataFrame) -> DataFrame:
     return written(buckets.join(shared, "band"), "similar-buckets")
 
 
-def open_pairs(buckets: DataFrame, tied: DataFrame) -> DataFrame:
-    """(a, b) of nodes that share a bucket and are in different components so far; tied: (node, component)."""
+def open_members(buckets: DataFrame, tied: DataFrame) -> DataFrame:
+    """(band, node, part) of the buckets whose members are in several components so far, as a written table."""
     part = buckets.select("band", "node").join(tied, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
     mixed = part.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band")
-    left = written(part.join(mixed, "band", "left_semi"), "similar-open")
-    mate = left.select("band", F.col("node").alias("b"), F.col("part").alias("other"))
-    return left.withColumnRenamed("node", "a").join(mate, "band").where("a < b and part <> other").select("a", "b").distinct()
+    return written(part.join(mixed, "band", "left_semi"), "similar-open")
+
+
+def _joiner(least: float):
+    """Links within groups of rows (group, side, node, part, hashes), sorted by group: between the members of side 0 and side 1,
+    or where there is no side 1 among all. Members of one part, or joined before, are not linked again."""
+
+    def links_of(side: np.ndarray, node: np.ndarray, part: np.ndarray, hashes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(h) for h in hashes])
+        owner = np.repeat(np.arange(len(node)), size)
+        _, shingle, n_each = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(shingle, kind="stable")
+        holders, first = owner[order], np.cumsum(n_each) - n_each
+        end = np.cumsum(size)
+        forest = Forest()
+        for i in range(len(node) - 1):
+            own = shingle[end[i] - size[i] : end[i]]
+            n = n_each[own]
+            place = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            both = np.bincount(holders[place], minlength=len(node))
+            hit = both >= least * (size + size[i] - both)
+            hit[: i + 1] = False
+            if side.any():
+                hit &= side != side[i]
+            for j in np.flatnonzero(hit & (part != part[i])).tolist():
+                if forest.join(int(part[i]), int(part[j])):
+                    yield int(node[i]), int(node[j])
+
+    def made(held: list[list]) -> pa.RecordBatch:
+        side, node, part = (np.concatenate([h[i] for h in held]) for i in range(3))
+        found = np.array(list(links_of(side, node, part, [x for h in held for x in h[3]])), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
+            for a, b in zip(edge, [*edge[1:], len(group)], strict=True):
+                if held and group[a] != now:
+                    yield made(held)
+                    held = []
+                now = group[a]
+                rows = batch.slice(a, b - a)
+                held.append([*(rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)), [x.values.to_numpy() for x in rows.column(4)]])
+        if held:
+            yield made(held)
+
+    return run
+
+
+def joined_members(left: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join all similar members of each bucket of ``left`` (band, node, part): a forest of each, not all pairs.
+
+    Pairs are compared within a task, by an inverted index of its sets. A large bucket is cut into blocks, and the rows of two blocks meet
+    in a group of their own, so that no task holds more than two blocks and rows grow with members times blocks.
+    """
+    rows = left.join(found, "node").select("band", "node", "part", "hashes")
+    load = left.join(found.select("node", F.size("hashes").alias("n")), "node").groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("n") / SHINGLES)).cast("int")
+    dealt = rows.join(load.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(F.xxhash64("band", low, high).alias("group"), ((F.col("own") != F.col("other")) & (F.col("own") == high)).cast("byte").alias("side"), "node", "part", "hashes")
+    return written(dealt.repartition(F.col("group")).sortWithinPartitions("group", "side", "node").mapInArrow(_joiner(least), "a long, b long"), "similar-joined")
 
 
 def components_of(rows: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, least: float, near: DataFrame) -> DataFrame:
     """(node, component): sets that links of similarity ``least`` or more reach; nodes without a link are absent.
 
     rows: (__key, node); sets: (node, lead, bands). near: pairs (a, b) to be tried besides those that share a band. Members of a
-    bucket meet its least one first; then members of different components meet each other. Sets of one key are tied.
+    bucket meet its least one first; then, in buckets whose members are in several components, those of different ones meet
+    each other. Sets of one key are tied.
     """
     buckets = banded_pairs(sets)
-    stars = buckets.where("a <> node").select("a", F.col("node").alias("b")).union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    check = lambda pairs: verified(pairs, sets, docs, key, text, shingle, least)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = written(buckets.where("a <> node").select("a", F.col("node").alias("b")).union(near).distinct(), "similar-stars")
+    found = sets_of(buckets.select("node").union(stars.select("a")).union(stars.select("b")), sets, docs, key, text, shingle)
     own = rows.groupBy("__key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("__key", "a")
     same = rows.select("__key", "node").distinct().join(own, "__key").where("node <> a").select("a", F.col("node").alias("b"))
-    links = written(check(stars).union(same), "similar-first")
-    rest = check(open_pairs(buckets, components(links, "a", "b")))
-    return components(links.union(rest), "a", "b")
+    links = written(verified(stars, found, least).union(same), "similar-first")
+    left = open_members(buckets, components(links, "a", "b"))
+    return components(links.union(joined_members(left, found, least)), "a", "b")

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from fieldloom.llm import simhash
+from fieldloom.llm import similar, simhash
 
 
 def plain(text):
@@ -11,7 +13,9 @@ def plain(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_stage_drops_edited_copies(spark):
+@pytest.mark.parametrize("members", [1024, 3])
+def test_stage_drops_edited_copies(spark, monkeypatch, members):
+    monkeypatch.setattr(similar, "MEMBERS", members)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     texts = []
