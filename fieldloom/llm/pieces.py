@@ -3,7 +3,8 @@
 A text is cut before each run of spaces; no piece goes across such a cut. Units of equal byte length advance
 together: for each end and piece length, hashes of the substrings probe the sorted keys of the pieces, and a
 maximum over the lengths keeps the best score and its length as backpointer. A character without a piece is
-spelled in bytes. Scores are those of a unigram model; ties go to the longer last piece.
+spelled in bytes. Scores are the vocabulary's own, whatever they mean there (log probabilities, or merge ranks of a byte-pair
+vocabulary): the search finds the cut with the greatest sum; ties go to the longer last piece.
 """
 
 from __future__ import annotations
