@@ -332,7 +332,7 @@ def chained(spark, d):
     """Squares as above, and for each a line x - y - 3 = 0 to a signal of its own, which no square bounds."""
     k = F.col("o_orderkey").cast("long")
     rows = F.array(*(F.struct(F.lit("C").alias("part"), s.alias("signal"), F.lit(c).cast("long").alias("coef")) for s, c in ((k % 700 + 1, 1), (k % 700 + 1001, 256), (F.lit(0).cast("long"), 254))))
-    lines = D.table(spark, d, "orders").select((-k).alias("coni"), F.inline(rows))
+    lines = D.table(spark, d, "orders").select((-k - 1).alias("coni"), F.inline(rows))
     return squares(spark, d).unionByName(lines)
 
 
