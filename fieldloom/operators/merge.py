@@ -200,24 +200,24 @@ def least_cut(nodes: set[int], weight: dict[tuple[int, int], int]) -> tuple[int,
 
 def highly_connected(nodes: set[int], edges: set[tuple[int, int]]) -> list[set[int]]:
     """Subgraphs whose least cut is over half of their nodes, found by cutting again and again; others are single nodes."""
+    near: dict[int, set[int]] = {n: set() for n in nodes}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
     out, todo = [], [nodes]
     while todo:
         now = todo.pop()
-        own = {e for e in edges if e[0] in now and e[1] in now}
-        seen = {min(now)}
-        front = [min(now)]
+        seen, front = {min(now)}, [min(now)]
         while front:
-            x = front.pop()
-            for a, b in own:
-                y = b if a == x else a if b == x else None
-                if y is not None and y not in seen:
-                    seen.add(y)
-                    front.append(y)
+            ahead = near[front.pop()] & now - seen
+            seen |= ahead
+            front += ahead
         if seen != now:
             todo += [seen, now - seen]
             continue
+        own = {(a, b) for a in now for b in near[a] & now if a < b}
         if len(now) < 3:
-            out += [{n} for n in now] if len(now) == 2 and not own else [now]
+            out += [{n} for n in now]
             continue
         size, side = least_cut(now, dict.fromkeys(own, 1))
         if 2 * size > len(now):
@@ -227,9 +227,15 @@ def highly_connected(nodes: set[int], edges: set[tuple[int, int]]) -> list[set[i
     return out
 
 
-def highly_connected_clusters(edges: DataFrame) -> DataFrame:
-    """(coni, cluster) of a graph (src < dst), one group a connected component."""
-    group = components(edges, "src", "dst")
+def highly_connected_clusters(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """(coni, cluster) of a graph (src < dst), one group a connected component.
+
+    Exact cuts take the cube of a component's nodes, in one task: a component of over ``most`` nodes is an error, not left out.
+    """
+    group = cut(components(edges, "src", "dst"))
+    n = group.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if n > most:
+        raise ValueError(f"a component of {n} nodes; exact cuts are made for up to {most}")
     rows = edges.join(group.withColumnRenamed("node", "src"), "src").select("component", "src", "dst")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:

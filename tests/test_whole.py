@@ -2,9 +2,11 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
+from fieldloom.operators import merge
 from fieldloom.plans import catalog
 
 
@@ -77,3 +79,25 @@ def test_attracted(spark, small):
             break
         state |= new
     assert len(state) > 20 and got(spark, small, "cl5_attracted", "coni", "cluster") == state
+
+
+def test_highly_connected(spark, small):
+    of, _ = sides(small[1])
+    edges = {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
+    cluster = got(spark, small, "cl15_highly_connected", "coni", "cluster")
+    assert edges and set(cluster) == {x for e in edges for x in e}
+    members = defaultdict(set)
+    for x, c in cluster.items():
+        members[c].add(x)
+    for c, of_c in members.items():
+        assert c == min(of_c) and len(of_c) <= 12
+        for k in range(1, len(of_c)):
+            for side in map(set, combinations(of_c, k)):
+                assert 2 * sum(a in of_c and b in of_c and (a in side) != (b in side) for a, b in edges) > len(of_c)
+
+
+def test_highly_connected_bound(spark):
+    path = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "src long, dst long")
+    with pytest.raises(ValueError, match="3 nodes"):
+        merge.highly_connected_clusters(path, most=2)
+    assert sorted(map(tuple, merge.highly_connected_clusters(path, most=3).collect())) == [(1, 1), (2, 2), (3, 3), (7, 7), (8, 7)]
