@@ -187,25 +187,26 @@ def decoded(pieces: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids:
 
 
 def round_trips(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_pieces, pieces_crc32, n_bytes, exact) for each row of ``docs``, without moving the ids out of a task.
+    """(key, pieces, n_pieces, pieces_crc32, n_bytes, exact) for each row of ``docs``.
 
-    pieces_crc32: of the ids as 32-bit little-endian integers; exact: decoding gives the text's bytes. Nulls as
-    in ``encoded``.
+    pieces: the ids, as in ``encoded``; pieces_crc32: of these as 32-bit little-endian integers; exact: decoding gives the
+    text's bytes. Nulls as in ``encoded``; repeated rows each have their row.
     """
-    names = ["__key", "n_pieces", "pieces_crc32", "n_bytes", "exact"]
+    names = ["__key", "pieces", "n_pieces", "pieces_crc32", "n_bytes", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
         for batch in small(batches):
-            texts, n, crc, exact = texts_of(batch.column(1)), [], [], []
+            texts, held, exact = texts_of(batch.column(1)), [], []
             for part in _parts(texts):
                 for t, ids in zip(part, codec.encode(part), strict=True):
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(np.array(ids, "<i4").tobytes()))
+                    held.append(np.array(ids, "<i4"))
                     exact.append(codec.decode(ids) == t)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(exact)]
+            n, crc = [len(x) for x in held], [zlib.crc32(x.tobytes()) for x in held]
+            pieces = pa.ListArray.from_arrays(np.cumsum([0, *n], dtype=np.int32), np.concatenate([np.zeros(0, "<i4"), *held]))
+            cols = [batch.column(0), pieces, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(exact)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"__key {kind}, n_pieces long, pieces_crc32 long, n_bytes long, exact boolean").withColumnRenamed("__key", key)
+    return rows.mapInArrow(run, f"__key {kind}, pieces array<int>, n_pieces long, pieces_crc32 long, n_bytes long, exact boolean").withColumnRenamed("__key", key)

@@ -79,7 +79,10 @@ def test_round_trip_tables(spark, vocabulary):
     docs = spark.createDataFrame([(i, t, [1]) for i, t in rows], "doc_id long, text string, pieces array<int>")
     back = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
     assert sorted(((r[0] is None, r[0] or 0, r[1]) for r in back.collect())) == sorted((i is None, i or 0, t or "") for i, t in rows)
-    assert all(r.exact for r in pieces.round_trips(docs, vocabulary).collect())
+    trips = pieces.round_trips(docs, vocabulary).collect()
+    assert all(r.exact and len(r.pieces) == r.n_pieces for r in trips)
+    assert sorted(str(r.pieces) for r in trips) == sorted(str(r.pieces) for r in pieces.encoded(docs, vocabulary).collect())
+    assert pieces.round_trips(docs.limit(0), vocabulary).collect() == []
     assert pieces.encoded(docs.limit(0), vocabulary).collect() == []
 
 
