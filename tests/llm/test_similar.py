@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from fieldloom.llm import similar, simhash
+from fieldloom.llm import shared, similar, simhash
 
 
 def plain(text):
@@ -49,3 +50,17 @@ def test_stage_drops_edited_copies(spark, monkeypatch, members):
     assert got.count(None) == 1
     assert sorted(i for i in got if i is not None) == sorted({top(i) for i in up})
     assert simhash.without_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_sets_lie_in_files_and_rows_say_where(spark, monkeypatch):
+    monkeypatch.setattr(similar, "IN_FILE", 30)
+    texts = [" ".join(f"w{i * j}" for j in range(i % 12)) for i in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    folder = shared.new_dir(spark, "arrays")
+    rows = shared.written(similar.with_sets(docs, "text", 5, folder), "places")
+    assert rows.dtypes == [("node", "bigint"), ("place", "struct<file:string,first:bigint,n:bigint>")]
+    want = {similar.name_of(s): s.tolist() for s in (np.unique(similar.hashed_shingles(t.encode(), 5)) for t in texts)}
+    places = rows.toArrow().column("place").combine_chunks()
+    assert len(set(places.field("file").to_pylist())) > 4
+    got = [s.tolist() for s in similar.sets_at(places, folder)]
+    assert dict(zip([r.node for r in rows.collect()], got, strict=True)) == want
