@@ -93,12 +93,14 @@ def eliminate(rows: list[tuple[int, dict[int, int]]], forbidden: set[int], p: in
     """Exact elimination of linear forms that are 0: (substitutions without eliminated signals on their right, leftovers).
 
     Constraints are taken in order; the pivot is the greatest signal that is not forbidden, or with ``sparse`` the rarest.
+    ``held`` has the substitutions that hold a signal on their right, so a pivot visits these alone.
     """
     count: dict[int, int] = {}
     for _, form in rows:
         for s in form:
             count[s] = count.get(s, 0) + 1
     subs: dict[int, dict[int, int]] = {}
+    held: dict[int, set[int]] = {}
     rest = []
     for _, given in sorted(rows):
         form = {}
@@ -116,14 +118,18 @@ def eliminate(rows: list[tuple[int, dict[int, int]]], forbidden: set[int], p: in
         pivot = min(free, key=lambda s: (count.get(s, 0), -s)) if sparse else max(free)
         scale = -pow(form.pop(pivot), -1, p) % p
         new = {s: c * scale % p for s, c in form.items()}
-        for right in subs.values():
-            if c := right.pop(pivot, 0):
-                for s, b in new.items():
-                    if v := (right.get(s, 0) + c * b) % p:
-                        right[s] = v
-                    else:
-                        right.pop(s, None)
+        for at in held.pop(pivot, ()):
+            right = subs[at]
+            c = right.pop(pivot)
+            for s, b in new.items():
+                if v := (right.get(s, 0) + c * b) % p:
+                    right[s] = v
+                    held.setdefault(s, set()).add(at)
+                elif right.pop(s, 0):
+                    held[s].discard(at)
         subs[pivot] = new
+        for s in new:
+            held.setdefault(s, set()).add(pivot)
     return subs, rest
 
 
