@@ -1,4 +1,4 @@
-"""Label propagation over the incidence, without a row for each pair of constraints that share a signal.
+"""Label propagation and colours by successors over the incidence, without a row for each pair of constraints that share a signal.
 
 The incidence lies in files of the shared folder, once by signals and once by constraints, in parts by the key modulo a prime.
 A round is two passes without a shuffle: each signal's labels are counted, then each constraint adds up the counts of its
@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import urlparse
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut, drop, ready
+from ..plans.fixpoint import cut, drop
 
 #: Counts a worker adds up at once; a constraint with more takes a block of its own.
 BLOCK = 2_000_000
@@ -168,28 +169,37 @@ def _voted(folder: str, r: int, parts: int, p: int) -> int:
     return int((new != own).sum())
 
 
-def propagated(inc: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, label): as ``graph.propagated_labels`` over ``shared_signals`` of the incidence (coni, signal): each constraint
-    takes the label of most votes, a vote a neighbour and shared signal, itself counting 1, ties to the least."""
+def laid_out(inc: DataFrame) -> tuple[str, int]:
+    """(folder, parts) of the files of an incidence that ``cut`` wrote; the table is deleted."""
     spark = inc.sparkSession
-    ready(spark)
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/votes-{uuid.uuid4().hex}"
-    whole = cut(inc.select("coni", "signal").dropna())
-    several = whole.groupBy("signal").agg(F.count("*").alias("n")).where("n > 1").select("signal")
-    inc = cut(whole.join(several, "signal", "left_semi"))
-    drop(whole)
     parts = _prime(max(int(spark.conf.get("spark.sql.shuffle.partitions")), inc.count() // 500_000))
     for key, value in (("signal", "coni"), ("coni", "signal")):
         _stored(inc, key, value, folder, parts)
     drop(inc)
+    return folder, parts
 
-    def each(work, schema="x long") -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for p in batch.column(0).to_pylist():
-                    yield from work(p)
 
-        return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
+def _each(spark, parts: int, work: Callable[[int], Iterator[pa.RecordBatch]], schema: str = "x long") -> DataFrame:
+    """What ``work`` gives for each part, a task a part."""
+
+    def run(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                yield from work(p)
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, schema)
+
+
+def propagated(inc: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, label): as ``graph.propagated_labels`` over ``shared_signals`` of the incidence (coni, signal): each constraint
+    takes the label of most votes, a vote a neighbour and shared signal, itself counting 1, ties to the least."""
+    whole = cut(inc.select("coni", "signal").dropna())
+    several = whole.groupBy("signal").agg(F.count("*").alias("n")).where("n > 1").select("signal")
+    inc = cut(whole.join(several, "signal", "left_semi"))
+    drop(whole)
+    spark, (folder, parts) = inc.sparkSession, laid_out(inc)
+    each = partial(_each, spark, parts)
 
     def begin(p):
         put(folder, f"label0-{p}", get(folder, f"coni-{p}-keys"))
@@ -221,6 +231,138 @@ def propagated(inc: DataFrame, rounds: int = 20) -> DataFrame:
     return out
 
 
+# --- colours by successors ----------------------------------------------------------------------------------
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes; sums of them wrap."""
+    z = x.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    for turn, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(turn))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
+
+
+def _colors(folder: str, r: int, parts: int, nodes: np.ndarray) -> np.ndarray:
+    out = np.empty(len(nodes), np.int64)
+    for q, at in _by_part(nodes, parts):
+        out[at] = get(folder, f"color{r}-{q}")[np.searchsorted(get(folder, f"coni-{q}-keys"), nodes[at])]
+    return out
+
+
+def _placed(folder: str, parts: int, p: int) -> None:
+    """Once: where each entry of part ``p``'s constraints stands among its signal's, and the successors that share more than
+    one signal (node's row, successor), once for each signal but the first."""
+    keys, start, signals = (get(folder, f"coni-{p}-{x}") for x in ("keys", "start", "values"))
+    row = np.repeat(np.arange(len(keys)), np.diff(start))
+    place, after = np.empty(len(signals), np.int64), np.empty(len(signals), np.int64)
+    for q, at in _by_part(signals, parts):
+        members, ends = get(folder, f"signal-{q}-values"), get(folder, f"signal-{q}-start")
+        s = np.searchsorted(get(folder, f"signal-{q}-keys"), signals[at])
+        low, high, want = np.array(ends[s]), np.array(ends[s + 1]) - 1, keys[row[at]]
+        while (low < high).any():
+            mid = (low + high) >> 1
+            less = members[mid] < want
+            low, high = np.where(less & (low < high), mid + 1, low), np.where(less, high, mid)
+        place[at], after[at] = low, ends[s + 1] - low - 1
+    twice, total, a = [], np.append(0, np.cumsum(after))[start], 0
+    while a < len(keys):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK, "right")) - 1)
+        rows = slice(start[a], start[b])
+        made = [np.zeros((2, 0), np.int64)]
+        for q, at in _by_part(signals[rows], parts):
+            n = after[rows][at]
+            made.append(np.stack([np.repeat(row[rows][at], n), get(folder, f"signal-{q}-values")[_spread(place[rows][at] + 1, n)]]))
+        pairs = np.concatenate(made, axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        twice.append(pairs[:, 1:][:, (pairs[:, 1:] == pairs[:, :-1]).all(axis=0)])
+        a = b
+    found = np.concatenate([np.zeros((2, 0), np.int64), *twice], axis=1)
+    for name, data in (("place", place), ("twice", found[0]), ("again", found[1])):
+        put(folder, f"coni-{p}-{name}", data)
+
+
+def _after(folder: str, r: int, parts: int, p: int) -> None:
+    """For each entry of part ``p``'s signals, two sums of hashes of the colours that follow it."""
+    start, nodes = get(folder, f"signal-{p}-start"), get(folder, f"signal-{p}-values")
+    color, last = _colors(folder, r, parts, nodes), np.repeat(start[1:], np.diff(start))
+    for salt in (1, 2):
+        sums = np.append(np.uint64(0), np.cumsum(_mixed(color, salt), dtype=np.uint64))
+        put(folder, f"after{r}-{p}-{salt}", (sums[last] - sums[1:]).view(np.int64))
+
+
+def _bags(folder: str, r: int, parts: int, p: int) -> Iterator[pa.RecordBatch]:
+    """(node, color, h1, h2) of part ``p``: its colour and two sums of hashes of its successors' colours, each successor once."""
+    keys, start, signals, place, twice, again = (get(folder, f"coni-{p}-{x}") for x in ("keys", "start", "values", "place", "twice", "again"))
+    if not len(keys):
+        return
+    color, out = _colors(folder, r, parts, np.asarray(again)), {"node": keys, "color": get(folder, f"color{r}-{p}")}
+    for salt in (1, 2):
+        h = np.empty(len(signals), np.int64)
+        for q, at in _by_part(signals, parts):
+            h[at] = get(folder, f"after{r}-{q}-{salt}")[place[at]]
+        sums = np.append(np.uint64(0), np.cumsum(h.view(np.uint64), dtype=np.uint64))
+        less = np.append(np.uint64(0), np.cumsum(_mixed(color, salt), dtype=np.uint64))
+        ends = np.searchsorted(twice, np.arange(len(keys) + 1))
+        out[f"h{salt}"] = (sums[start[1:]] - sums[start[:-1]] - (less[ends[1:]] - less[ends[:-1]])).view(np.int64)
+    yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+
+def _written(folder: str, r: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Writes the colours of a part in order of its constraints."""
+
+    def write(table: pa.Table) -> pa.Table:
+        node, color = (table.column(c).to_numpy() for c in ("node", "color"))
+        put(folder, f"color{r}-{int(node[0] % parts)}", color[np.argsort(node)])
+        return pa.table({"x": pa.array([0], pa.int64())})
+
+    return write
+
+
+def successor_colors(inc: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, color): as ``refine.refined_nodes`` over the arcs src < dst of ``shared_signals``, all nodes alike at first.
+
+    A round adds up hashes from a signal's greatest constraint downwards; successors by several signals are found once and
+    taken off, so that each counts once."""
+    inc = cut(inc.select("coni", "signal").dropna())
+    spark, (folder, parts) = inc.sparkSession, laid_out(inc)
+    each = partial(_each, spark, parts)
+    done = pa.RecordBatch.from_pydict({"x": pa.array([0], pa.int64())})
+
+    def begin(p):
+        _placed(folder, parts, p)
+        put(folder, f"color0-{p}", np.zeros(len(get(folder, f"coni-{p}-keys")), np.int64))
+        yield done
+
+    each(begin).count()
+    seen, r = 1, 0
+    while r < most:
+
+        def follow(p, r=r):
+            _after(folder, r, parts, p)
+            yield done
+
+        each(follow).count()
+        bags = cut(each(lambda p, r=r: _bags(folder, r, parts, p), "node long, color long, h1 long, h2 long"))
+        low = cut(bags.groupBy("color", "h1", "h2").agg(F.min("node").alias("least")))
+        now = low.count()
+        named = bags.join(low, ["color", "h1", "h2"]).select("node", F.col("least").alias("color"))
+        named.groupBy(F.pmod(F.col("node"), F.lit(parts))).applyInArrow(_written(folder, r + 1, parts), "x long").count()
+        drop(bags, low)
+        _removed(spark, folder, f"{{color,after}}{r}-*")
+        r += 1
+        if now == seen:
+            break
+        seen = now
+
+    def result(p):
+        keys = get(folder, f"coni-{p}-keys")
+        yield pa.RecordBatch.from_pydict({"node": pa.array(keys, pa.int64()), "color": pa.array(get(folder, f"color{r}-{p}") if len(keys) else [], pa.int64())})
+
+    out = cut(each(result, "node long, color long"))
+    _removed(spark, folder, "")
+    return out
+
+
 def _removed(spark, folder: str, names: str) -> None:
     """Deletes the folder's files of these names, or the folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from fieldloom.operators import graph, relational, votes
+from pyspark.sql import functions as F
+
+from fieldloom.operators import graph, refine, relational, votes
 from fieldloom.plans import catalog
 
 
@@ -31,3 +33,21 @@ def test_no_pairs_are_made(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(relational, "shared_signals", lambda inc: pytest.fail("pairs"))
     for name in ("cl16_labels", "cl16_labels_two_rounds_whole"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 60
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_successor_colours_as_over_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(votes, "BLOCK", 40)
+    r = random.Random(seed)
+    some = sorted({(c, r.choice([r.randint(1, 60), r.randint(1, 6) * 100])) for c in range(90) for _ in range(r.randint(1, 4))})
+    rows = some + [(c + 200, s + 1000) for c, s in some] + [(9999, 7777)]  # a copy, so that classes have two members
+    inc = spark.createDataFrame(rows, "coni long, signal long")
+    nodes = inc.select(F.col("coni").alias("node"), F.lit(0).cast("long").alias("color")).distinct()
+    want = {tuple(x) for x in refine.refined_nodes(relational.shared_signals(inc).select("src", "dst"), nodes).collect()}
+    assert {tuple(x) for x in votes.successor_colors(inc).collect()} == want and len({c for _, c in want}) > 20
+
+
+def test_successor_colours_make_no_pairs(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(o, o % 7, n, 1.0) for o in range(60) for n in (1, 2)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(relational, "shared_signals", lambda inc: pytest.fail("pairs"))
+    assert catalog.QUERIES["fp12_successor_colours_whole"](spark, str(tmp_path)).count() == 60
