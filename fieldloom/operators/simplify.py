@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.field import Field
-from ..plans.fixpoint import cut, ranked
+from ..plans.fixpoint import cut, drop, ranked
 from .graph import components, constraint_components
 
 
@@ -158,7 +158,8 @@ def linear_elimination(linear: DataFrame, forbidden: DataFrame, p: int = 257, sp
 def simplified(terms: DataFrame, forbidden: DataFrame, p: int = 257, most: int = 1000, plonk: bool = False) -> DataFrame:
     """Rounds of elimination until no linear constraint gives a substitution: the terms that stay.
 
-    plonk: only linear constraints of at most two signals are eliminated.
+    plonk: only linear constraints of at most two signals are eliminated. Linear constraints without a free signal stay as
+    they are, names included: no substitution touches them, so no round takes them up again.
     """
     f = Field(p)
     state = cut(fixed_constraints(terms, f))
@@ -166,18 +167,20 @@ def simplified(terms: DataFrame, forbidden: DataFrame, p: int = 257, most: int =
         shape = state.groupBy("coni").agg(F.bool_or(F.col("part") == "A").alias("a"), F.bool_or(F.col("part") == "B").alias("b"), F.count_if((F.col("part") == "C") & (F.col("signal") != 0)).alias("n"))
         linear = shape.where("not (a and b)" + (" and n <= 2" if plonk else "")).select("coni")
         lin = state.where("part = 'C'").join(linear, "coni", "left_semi")
-        free = lin.where("signal <> 0").join(forbidden.select("signal"), "signal", "left_anti")
-        if free.isEmpty():
+        free = lin.where("signal <> 0").join(forbidden.select("signal"), "signal", "left_anti").select("coni").distinct()
+        busy = cut(lin.join(free, "coni", "left_semi"))
+        if busy.isEmpty():
+            drop(busy)
             return state
-        solved = cut(linear_elimination(lin.select("coni", "signal", "coef"), forbidden, p))
+        solved = cut(linear_elimination(busy.select("coni", "signal", "coef"), forbidden, p))
         subs = solved.where("kind = 'sub'").select("from_sig", "signal", "coef")
-        kept = substituted(state.join(lin.select("coni").distinct(), "coni", "left_anti"), subs, f)
+        kept = substituted(state.join(busy.select("coni").distinct(), "coni", "left_anti"), subs, f)
         base = state.agg(F.max("coni")).first()[0] + 1
         rest = solved.where("kind = 'left'")
         names = ranked(rest.select("cluster", "from_sig").distinct(), ["cluster", "from_sig"], "__place")
         left = rest.join(names, ["cluster", "from_sig"]).select((F.col("__place") + base).alias("coni"), F.lit("C").alias("part"), "signal", "coef")
-        alone = lin.groupBy("coni").agg(F.count_if(F.col("signal") != 0).alias("k")).where("k = 0").select("coni")
-        state = cut(fixed_constraints(kept.unionByName(left).unionByName(lin.join(alone, "coni", "left_semi")), f))
+        before, state = state, cut(fixed_constraints(kept.unionByName(left), f))
+        drop(before, busy, solved)
     return state
 
 

@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from fieldloom.operators import simplify
 from fieldloom.operators.simplify import eliminate
 
 
@@ -32,3 +33,17 @@ def test_no_eliminated_signal_stays(sparse):
                 for t, b in subs.get(s, {s: 1}).items():
                     out[t] = (out.get(t, 0) + c * b) % 257
             assert {t for t, c in out.items() if c} <= fixed | {0}
+
+
+@pytest.mark.parametrize("plonk", [False, True])
+def test_rounds_leave_constraints_without_a_free_signal_alone(spark, monkeypatch, plonk):
+    # 1: on forbidden signals alone; 2: x6 = -2 x5; 3: its product turns linear once x7 = 0 (4); 5: a constant
+    rows = [(1, "C", 5, 1), (1, "C", 10, 3), (2, "C", 5, 2), (2, "C", 6, 1), (4, "C", 7, 9), (5, "C", 0, 8)]
+    rows += [(3, "A", 7, 1), (3, "B", 8, 1), (3, "C", 9, 1), (3, "C", 6, 1), (6, "A", 5, 1), (6, "B", 9, 1), (6, "C", 8, 1)]
+    taken, real = [], simplify.linear_elimination
+    monkeypatch.setattr(simplify, "linear_elimination", lambda linear, *a, **k: taken.append({r.coni for r in linear.select("coni").collect()}) or real(linear, *a, **k))
+    terms = spark.createDataFrame(rows, "coni long, part string, signal long, coef long")
+    got = simplify.simplified(terms, spark.createDataFrame([(5,), (10,)], "signal long"), plonk=plonk)
+    assert taken == [{2, 4}, {3}]
+    # x9 = -x6 = 2 x5
+    assert sorted(map(tuple, got.collect())) == [(1, "C", 5, 1), (1, "C", 10, 3), (5, "C", 0, 8), (6, "A", 5, 1), (6, "B", 5, 2), (6, "C", 8, 1)]
