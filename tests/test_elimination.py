@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from fieldloom.operators import simplify
+from fieldloom.operators import graph, simplify
 from fieldloom.operators.simplify import eliminate
 
 
@@ -47,3 +47,20 @@ def test_rounds_leave_constraints_without_a_free_signal_alone(spark, monkeypatch
     assert taken == [{2, 4}, {3}]
     # x9 = -x6 = 2 x5
     assert sorted(map(tuple, got.collect())) == [(1, "C", 5, 1), (1, "C", 10, 3), (5, "C", 0, 8), (6, "A", 5, 1), (6, "B", 5, 2), (6, "C", 8, 1)]
+
+
+def test_components_tie_signals_alone(spark, monkeypatch):
+    r = random.Random(5)
+    rows = sorted({(c * 2 + 5, r.randint(1, 90)) for c in range(60) for _ in range(r.randint(1, 3))} | {(999, 999), (1000, 999), (1001, 500)})
+    name = {c: c for c, _ in rows}
+    while True:  # the least constraint over shared signals
+        least = {s: min(name[c] for c, t in rows if t == s) for _, s in rows}
+        now = {c: min(least[s] for d, s in rows if d == c) for c in name}
+        if now == name:
+            break
+        name = now
+    taken, real = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda links, a, b: taken.append(links.count()) or real(links, a, b))
+    inc = spark.createDataFrame([*rows, (7, None), (None, 3)], "coni long, signal long")
+    assert dict(map(tuple, graph.constraint_components(inc).collect())) == name and len(set(name.values())) > 3
+    assert taken[0] <= len(rows) - len(name)  # a tie an entry before
