@@ -76,3 +76,15 @@ def test_highly_connected_parts():
     clique = lambda a, b: set(combinations(range(a, b), 2))
     found = M.highly_connected(set(range(10)), clique(0, 5) | clique(5, 10) | {(4, 5)})
     assert sorted(map(sorted, found)) == [list(range(5)), list(range(5, 10))]
+
+
+def test_parts_without_arcs_are_not_gathered(spark, monkeypatch):
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    inc = table([(1, 1), (1, 5), (2, 1), (2, 6), (3, 9), (4, 10)], "coni long, signal long")
+    terms = inc.selectExpr("coni", "'C' AS part", "signal", "1L AS coef")
+    parts = table([(i, i) for i in range(1, 5)], "coni long, part_id long")
+    kept, real = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df: kept.append(df.count()) or real(df))
+    got = M.merged_parts(inc, terms, parts, table([(1, 2)], "src long, dst long"), table([(1,)], "signal long"), table([(6,)], "signal long"), "passthrough")
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert kept[-1] == 2
