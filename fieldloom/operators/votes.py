@@ -3,11 +3,14 @@
 The incidence lies in files of the shared folder, once by signals and once by constraints, in parts by the key modulo a prime.
 A round is two passes without a shuffle: each signal's labels are counted, then each constraint adds up the counts of its
 signals in blocks of ``BLOCK`` entries. Workers map the files into memory, so neither pairs nor votes reach the disk.
+Where few labels changed, a constraint adds up the changes of its signals' counts: while its label's votes stay above a bound of
+all lesser labels' and not below one of all greater labels' it keeps its label, exactly; only the rest add up whole counts again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -68,7 +71,7 @@ def get(folder: str, name: str) -> np.ndarray:
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places of its keys)."""
-    part = keys % parts
+    part = (keys % parts).astype(np.int16 if parts < 1 << 15 else np.int64)  # of 16 bits, a radix sort
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -87,6 +90,12 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def _closed(folder: str, r: int) -> None:
+    """Lets go of arrays of rounds before ``r``: a deleted file keeps its disk as long as a worker maps it."""
+    for at in [x for x in _OPEN if x.startswith(folder) and (m := re.match(r"[a-z]+(\d+)-", x[len(folder) + 1 :])) and int(m[1]) < r]:
+        del _OPEN[at]
+
+
 def _stored(inc: DataFrame, key: str, value: str, folder: str, parts: int) -> int:
     """Writes each part's keys in order, where the values of each begin, and the values; their number of keys."""
 
@@ -107,26 +116,71 @@ def _stored(inc: DataFrame, key: str, value: str, folder: str, parts: int) -> in
     return sum(got.values())
 
 
-def _counted(folder: str, r: int, parts: int, p: int) -> None:
-    """The labels of each signal of part ``p`` in round ``r``, and how many constraints have them."""
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _shared(folder: str, parts: int, p: int) -> int:
+    """Writes the constraints of part ``p`` that share a signal, such signals of each and their places in their parts; how many."""
+    keys, start, signals = (get(folder, f"coni-{p}-{x}") for x in ("keys", "start", "values"))
+    place = np.empty(len(signals), np.int64)
+    for q, at in _by_part(signals, parts):
+        place[at] = np.searchsorted(get(folder, f"signal-{q}-keys"), signals[at])
+        ends = get(folder, f"signal-{q}-start")
+        place[at[ends[place[at] + 1] - ends[place[at]] < 2]] = -1
+    held = np.flatnonzero(place >= 0)
+    node = keys[np.repeat(np.arange(len(keys)), np.diff(start))[held]]
+    first = _starts(node)
+    for name, data in (("keys", node[first]), ("start", np.append(first, len(node))), ("values", signals[held]), ("place", place[held])):
+        put(folder, f"node-{p}-{name}", data)
+    put(folder, f"label0-{p}", node[first])
+    return len(first)
+
+
+def _members(folder: str, parts: int, p: int) -> None:
+    """Writes where each constraint of part ``p``'s shared signals lies: entries in order of its part, places there."""
     start, nodes = get(folder, f"signal-{p}-start"), get(folder, f"signal-{p}-values")
-    label = np.empty(len(nodes), np.int64)
-    for q, at in _by_part(nodes, parts):
-        label[at] = get(folder, f"label{r}-{q}")[np.searchsorted(get(folder, f"coni-{q}-keys"), nodes[at])]
-    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    order = np.lexsort((label, row))
-    row, label = row[order], label[order]
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1]))) if len(row) else np.zeros(0, np.int64)
-    put(folder, f"count{r}-{p}-start", np.searchsorted(row[first], np.arange(len(start))))
-    put(folder, f"count{r}-{p}-label", label[first])
-    put(folder, f"count{r}-{p}-n", np.diff(np.append(first, len(row))))
+    several = np.flatnonzero(np.repeat(np.diff(start) > 1, np.diff(start)))
+    at, place, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(parts + 1, np.int64)
+    for q, x in _by_part(nodes[several], parts):
+        at.append(several[x])
+        place.append(np.searchsorted(get(folder, f"node-{q}-keys"), nodes[several[x]]))
+        ends[q + 1] = len(x)
+    for name, data in (("at", np.concatenate(at)), ("place", np.concatenate(place)), ("ends", np.cumsum(ends))):
+        put(folder, f"signal-{p}-{name}", data)
+
+
+def _tabled(folder: str, name: str, keys: int, row: np.ndarray, label: np.ndarray, n: np.ndarray) -> None:
+    """Writes the sums of ``n`` that are not 0 by row and label, and where each of the rows 0 to ``keys`` begins."""
+    if len(row):
+        row, label, n = _summed(row, label, n)
+        row, label, n = (x[n != 0] for x in (row, label, n))
+    for what, data in (("start", np.searchsorted(row, np.arange(keys + 1))), ("label", label), ("n", n)):
+        put(folder, f"{name}-{what}", data)
+
+
+def _counted(folder: str, r: int, parts: int, p: int, few: bool) -> None:
+    """The labels of each signal of part ``p`` in round ``r``, and how many constraints have them; ``few``: and how many more than before."""
+    start, at, place, ends = (get(folder, f"signal-{p}-{x}") for x in ("start", "at", "place", "ends"))
+
+    def labels(r):
+        return np.concatenate([np.zeros(0, np.int64), *(get(folder, f"label{r}-{q}")[place[ends[q] : ends[q + 1]]] for q in range(parts) if ends[q] < ends[q + 1])])
+
+    row, label = np.repeat(np.arange(len(start) - 1), np.diff(start))[at], labels(r)
+    _tabled(folder, f"count{r}-{p}", len(start) - 1, row, label, np.ones(len(row), np.int64))
+    if few:
+        before = labels(r - 1)
+        moved = np.flatnonzero(label != before)
+        n = np.repeat(np.array([1, -1]), len(moved))
+        _tabled(folder, f"delta{r}-{p}", len(start) - 1, np.tile(row[moved], 2), np.append(label[moved], before[moved]), n)
 
 
 def _summed(row: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, label, sum of n) in order; packed into one number a row where they fit."""
     low = int(label.min())
-    bits = [int(x).bit_length() for x in (row.max(), label.max() - low, n.max())]
-    if sum(bits) < 63:
+    bits = [int(x).bit_length() for x in (row.max(), int(label.max()) - low, n.max())]
+    if sum(bits) < 63 and n.min() >= 0:
         key = np.sort((row << (bits[1] + bits[2])) | ((label - low) << bits[2]) | n)
         n, key = key & ((1 << bits[2]) - 1), key >> bits[2]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -138,34 +192,75 @@ def _summed(row: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return row[first], label[first], np.add.reduceat(n, first)
 
 
-def _voted(folder: str, r: int, parts: int, p: int) -> int:
-    """Writes the labels of part ``p`` after round ``r``; how many changed."""
-    start, signals, own = get(folder, f"coni-{p}-start"), get(folder, f"coni-{p}-values"), get(folder, f"label{r}-{p}")
-    begin, n = np.empty(len(signals), np.int64), np.empty(len(signals), np.int64)
-    for q, at in _by_part(signals, parts):
-        ends, place = get(folder, f"count{r}-{q}-start"), np.searchsorted(get(folder, f"signal-{q}-keys"), signals[at])
-        begin[at], n[at] = ends[place], ends[place + 1] - ends[place]
-    new, size = np.array(own), np.diff(start)
-    total = np.append(0, np.cumsum(n))[start]
+def _ranges(folder: str, table: str, parts: int, p: int, which: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The signals of some constraints of part ``p``: (signals, how many a constraint, where the rows of each begin, how many)."""
+    start, signals, place = (get(folder, f"node-{p}-{x}") for x in ("start", "values", "place"))
+    size = start[which + 1] - start[which]
+    at = _spread(start[which], size)
+    signals, place = signals[at], place[at]
+    begin, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for q, x in _by_part(signals, parts):
+        ends = get(folder, f"{table}-{q}-start")
+        begin[x] = ends[place[x]]
+        n[x] = ends[place[x] + 1] - begin[x]
+    return signals, size, begin, n
+
+
+def _blocks(folder: str, table: str, parts: int, found: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+    """(a, b, row, label, n) for the constraints a to b of ``_ranges``: the rows of their signals, by the constraint less a."""
+    signals, size, begin, n = found
+    first = np.append(0, np.cumsum(size))
+    total = np.append(0, np.cumsum(n))[first]
     a = 0
-    while a < len(own):
+    while a < len(size):
         b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK, "right")) - 1)
-        rows = slice(start[a], start[b])
-        sig, frm, many = signals[rows], begin[rows], n[rows]
-        node = np.repeat(np.arange(b - a), size[a:b])
-        made = []
-        for q, at in _by_part(sig, parts):
-            place = _spread(frm[at], many[at])
-            made.append((np.repeat(node[at], many[at]), get(folder, f"count{r}-{q}-label")[place], get(folder, f"count{r}-{q}-n")[place]))
-        row, label, votes = _summed(*(np.concatenate(x) for x in zip(*made, strict=True)))
-        mine = label == own[a:b][row]
-        votes[mine] += 1 - size[a:b][row[mine]]  # a constraint's own entries are no neighbours; itself counts 1
-        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        top = np.flatnonzero(votes == np.repeat(np.maximum.reduceat(votes, heads), np.diff(np.append(heads, len(row)))))
-        at = top[np.append(True, row[top][1:] != row[top][:-1])]  # of a constraint's best the least label
-        new[a:b] = label[at]
+        rows = first[a] + np.flatnonzero(n[first[a] : first[b]])
+        node, made = np.repeat(np.arange(b - a), size[a:b])[rows - first[a]], []
+        for q, x in _by_part(signals[rows], parts):
+            many = n[rows[x]]
+            at = _spread(begin[rows[x]], many)
+            made.append((np.repeat(node[x], many), get(folder, f"{table}-{q}-label")[at], get(folder, f"{table}-{q}-n")[at]))
+        if made:
+            yield a, b, *(np.concatenate(x) for x in zip(*made, strict=True))
         a = b
+
+
+def _raised(best: np.ndarray, row: np.ndarray, greater: np.ndarray, n: np.ndarray) -> None:
+    """Adds to the bounds of lesser and of greater labels the most that one of these has; rows and labels in order."""
+    heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (greater[1:] != greater[:-1])))
+    best[1 + greater[heads], row[heads]] += np.maximum.reduceat(n, heads)
+
+
+def _voted(folder: str, r: int, parts: int, p: int, few: bool) -> int:
+    """Writes the labels of part ``p`` after round ``r``; how many changed. Beside them the entries of each constraint's signals
+    that have its label, and bounds of those that have any one lesser and any one greater; its own entries are in all three."""
+    own, size = get(folder, f"label{r}-{p}"), np.diff(get(folder, f"node-{p}-start"))
+    new, best, which = np.array(own), np.zeros((3, len(own)), np.int64), np.arange(len(own))
+    if few:
+        best = np.array(get(folder, f"best{r}-{p}")).reshape(3, -1)
+        for a, b, row, label, n in _blocks(folder, f"delta{r}", parts, _ranges(folder, f"delta{r}", parts, p, which)):
+            mine = label == own[a:b][row]
+            np.add.at(best[0], a + row[mine], n[mine])
+            more = ~mine & (n > 0)
+            if more.any():
+                row, label, n = _summed(row[more], label[more], n[more])
+                _raised(best, a + row, label > own[a + row], n)
+        votes = best[0] + 1 - size
+        which = np.flatnonzero((votes <= best[1]) | (votes < best[2]))  # others keep their label
+    found = _ranges(folder, f"count{r}", parts, p, which)
+    for a, b, row, label, n in _blocks(folder, f"count{r}", parts, found):
+        nodes = which[a:b]
+        row, label, n = _summed(row, label, n)
+        votes, mine = np.array(n), label == own[nodes][row]
+        votes[mine] += 1 - size[nodes][row[mine]]  # a constraint's own entries are no neighbours; itself counts 1
+        heads = _starts(row)
+        top = np.flatnonzero(votes == np.repeat(np.maximum.reduceat(votes, heads), np.diff(np.append(heads, len(row)))))
+        at = top[_starts(row[top])]  # of a constraint's best the least label
+        new[nodes], best[0, nodes] = label[at], n[at]
+        best[1:, nodes], n[at] = 0, 0
+        _raised(best, nodes[row], label > new[nodes][row], n)
     put(folder, f"label{r + 1}-{p}", new)
+    put(folder, f"best{r + 1}-{p}", best)
     return int((new != own).sum())
 
 
@@ -173,7 +268,8 @@ def laid_out(inc: DataFrame) -> tuple[str, int]:
     """(folder, parts) of the files of an incidence that ``cut`` wrote; the table is deleted."""
     spark = inc.sparkSession
     folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/votes-{uuid.uuid4().hex}"
-    parts = _prime(max(int(spark.conf.get("spark.sql.shuffle.partitions")), inc.count() // 500_000))
+    rows = inc.count()  # a part looks into the files of all others, so small parts cost more than they share out
+    parts = _prime(max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(12, rows // 20_000)), rows // 500_000))
     for key, value in (("signal", "coni"), ("coni", "signal")):
         _stored(inc, key, value, folder, parts)
     drop(inc)
@@ -194,39 +290,39 @@ def _each(spark, parts: int, work: Callable[[int], Iterator[pa.RecordBatch]], sc
 def propagated(inc: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, label): as ``graph.propagated_labels`` over ``shared_signals`` of the incidence (coni, signal): each constraint
     takes the label of most votes, a vote a neighbour and shared signal, itself counting 1, ties to the least."""
-    whole = cut(inc.select("coni", "signal").dropna())
-    several = whole.groupBy("signal").agg(F.count("*").alias("n")).where("n > 1").select("signal")
-    inc = cut(whole.join(several, "signal", "left_semi"))
-    drop(whole)
+    inc = cut(inc.select("coni", "signal").dropna())
     spark, (folder, parts) = inc.sparkSession, laid_out(inc)
-    each = partial(_each, spark, parts)
 
-    def begin(p):
-        put(folder, f"label0-{p}", get(folder, f"coni-{p}-keys"))
-        yield pa.RecordBatch.from_pydict({"x": pa.array([0], pa.int64())})
+    def each(work):
+        return sum(x for x, in _each(spark, parts, lambda p: iter([pa.RecordBatch.from_pydict({"x": pa.array([work(p) or 0], pa.int64())})])).collect())
 
-    each(begin).count()
-    r = 0
+    nodes = each(lambda p: _shared(folder, parts, p))
+    each(lambda p: _members(folder, parts, p))
+    r, changed = 0, nodes
     while r < rounds:
+        few = 10 * changed < nodes  # else most would add up whole counts as well
 
-        def count(p, r=r):
-            _counted(folder, r, parts, p)
-            yield pa.RecordBatch.from_pydict({"x": pa.array([0], pa.int64())})
+        def count(p, r=r, few=few):
+            _closed(folder, r - 1)
+            _counted(folder, r, parts, p, few)
 
-        def vote(p, r=r):
-            yield pa.RecordBatch.from_pydict({"x": pa.array([_voted(folder, r, parts, p)], pa.int64())})
+        def vote(p, r=r, few=few):
+            _closed(folder, r)
+            return _voted(folder, r, parts, p, few)
 
-        each(count).count()
-        changed = each(vote).agg(F.sum("x")).first()[0]
-        _removed(spark, folder, f"{{label,count}}{r}-*")
+        each(count)
+        changed = each(vote)
+        _removed(spark, folder, f"{{count,delta,best}}{r}-*")
+        if r:
+            _removed(spark, folder, f"label{r - 1}-*")
         r += 1
         if not changed:
             break
 
     def result(p):
-        yield pa.RecordBatch.from_pydict({"node": pa.array(get(folder, f"coni-{p}-keys"), pa.int64()), "label": pa.array(get(folder, f"label{r}-{p}"), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"node": pa.array(get(folder, f"node-{p}-keys"), pa.int64()), "label": pa.array(get(folder, f"label{r}-{p}"), pa.int64())})
 
-    out = cut(each(result, "node long, label long"))
+    out = cut(_each(spark, parts, result, "node long, label long"))
     _removed(spark, folder, "")
     return out
 

@@ -1,6 +1,7 @@
 """Label propagation over the incidence gives the labels of the pairs, without a row a pair."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -21,6 +22,29 @@ def test_as_over_pairs(spark, rounds, monkeypatch):
     assert len(want) > 100 and got == want
 
 
+def test_few_changes_add_up_few_votes(spark, monkeypatch):
+    each, blocks, added = votes._each, votes._blocks, []
+
+    def here(spark, parts, work, schema="x long"):
+        if schema != "x long":
+            return each(spark, parts, work, schema)
+        return SimpleNamespace(collect=lambda: [(x,) for p in range(parts) for batch in work(p) for x in batch.column(0).to_pylist()])
+
+    def counted(folder, table, parts, found):
+        added.append((table, int(found[3].sum())))
+        return blocks(folder, table, parts, found)
+
+    monkeypatch.setattr(votes, "_each", here)
+    monkeypatch.setattr(votes, "_blocks", counted)
+    groups = [(c * 3 + k, 1000 + c * 2 + s) for c in range(100) for k in range(3) for s in range(2)]
+    path = [(5000 + c, 9000 + c + s) for c in range(25) for s in range(2)]  # its labels move on by one constraint a round
+    inc = spark.createDataFrame(groups + path, "coni long, signal long")
+    want = {tuple(x) for x in graph.propagated_labels(relational.shared_signals(inc), 20).collect()}
+    assert {tuple(x) for x in votes.propagated(inc, 20).collect()} == want
+    of = lambda *tables: sum(n for table, n in added if table in tables)
+    assert of("count1") >= 650 and 0 < of("count15", "delta15") < 200
+
+
 def test_sums_that_do_not_fit_one_number():
     import numpy as np
 
