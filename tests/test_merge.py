@@ -1,7 +1,13 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from fieldloom.operators import graph as G
 from fieldloom.operators import merge as M
+from fieldloom.operators import relational as R
+from fieldloom.plans.fixpoint import cut
+from fieldloom.sources import derived as D
 
 
 def acyclic(graph):
@@ -88,3 +94,29 @@ def test_parts_without_arcs_are_not_gathered(spark, monkeypatch):
     got = M.merged_parts(inc, terms, parts, table([(1, 2)], "src long, dst long"), table([(1,)], "signal long"), table([(6,)], "signal long"), "passthrough")
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3), (4, 4)]
     assert kept[-1] == 2
+
+
+def test_line_items_are_dealt_out_once(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(60)]), r.choice([None, *range(-1, 90)]), r.randint(1, 6), float(r.choice([1, 2, 257]))) for _ in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cons = R.constraints(D.terms(spark, str(tmp_path), together=True))
+    assert cons._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    terms = cut(D.terms(spark, str(tmp_path)))
+    inc, cons = R.incidence(terms), cut(cons)
+    pairs = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert pairs(cons.select("coni", F.explode("signals"))) == pairs(inc)
+    hard = cons.where("nonlinear").select("coni", "signals")
+    assert {x for (x,) in pairs(hard.select("coni"))} == {x for (x,) in pairs(R.nonlinear(terms))} & {x.coni for x in inc.collect()}
+    core = hard.where("coni is not null")
+    assert pairs(G.set_components(core)) == pairs(G.nonlinear_cores(inc, R.nonlinear(terms)))
+
+
+def test_both_roles_walk_at_once(spark):
+    r = random.Random(5)
+    edges = cut(spark.createDataFrame(sorted({(r.randrange(40), r.randrange(40)) for _ in range(60)}), "src long, dst long"))
+    starts = spark.createDataFrame([(1, "i"), (2, "i"), (2, "o"), (9, "o")], "node long, role string")
+    found = G._walked(edges, starts, ["role"])
+    for role in "io":
+        alone = G.distances(edges, starts.where(F.col("role") == role).select("node"))
+        assert sorted(map(tuple, found.where(F.col("role") == role).select("node", "d").collect())) == sorted(map(tuple, alone.collect()))
